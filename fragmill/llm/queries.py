@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragmill.llm import bpe_codec, exact_dedup, mixing, quality_rules, secret_scan
+from fragmill.llm import bpe_codec, exact_dedup, mixing, ngram_join, quality_rules, secret_scan, token_orc
 from fragmill.llm.common import documents
 
 
@@ -18,6 +18,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir), words=4, percent=85)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -32,6 +36,11 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = token_orc.write_and_read(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_orc.crc32(tokens)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(documents(spark, sf_dir))
     base = secret_scan.joined(secret_scan.kinds("assign", "access", "hex"))
@@ -40,4 +49,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op5_exact_dedup, op6_quality_rules, op7_mix_sources, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_ngram_jaccard, op5_exact_dedup, op6_quality_rules, op7_mix_sources, op8_token_orc, op10_secret_scan)}
