@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragmill.llm import bpe_codec, exact_dedup, mixing, ngram_join, quality_rules, secret_scan, token_orc
+from fragmill.llm import bpe_codec, exact_dedup, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, token_orc
 from fragmill.llm.common import documents
 
 
@@ -41,6 +41,11 @@ def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.crc32(tokens)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(documents(spark, sf_dir))
     base = secret_scan.joined(secret_scan.kinds("assign", "access", "hex"))
@@ -49,4 +54,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_ngram_jaccard, op5_exact_dedup, op6_quality_rules, op7_mix_sources, op8_token_orc, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_ngram_jaccard, op5_exact_dedup, op6_quality_rules, op7_mix_sources, op8_token_orc, op9_substring_dedup, op10_secret_scan)}
