@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragmill.llm import bpe_codec, exact_dedup, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, token_orc
+from fragmill.llm import bpe_codec, exact_dedup, lm_backoff, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, token_orc
 from fragmill.llm.common import documents
 
 
@@ -22,6 +22,11 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir), words=4, percent=85)
 
 
+def op4_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_backoff.scores(documents(spark, sf_dir))
+    return scored.select("doc_id", "n_words", "n_seen_bigrams", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -54,4 +59,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_ngram_jaccard, op5_exact_dedup, op6_quality_rules, op7_mix_sources, op8_token_orc, op9_substring_dedup, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_ngram_jaccard, op4_stupid_backoff, op5_exact_dedup, op6_quality_rules, op7_mix_sources, op8_token_orc, op9_substring_dedup, op10_secret_scan)}
