@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragmill.llm import bpe_codec, exact_dedup, lm_backoff, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, token_orc
+from fragmill.llm import bpe_codec, exact_dedup, html_wrapper, lm_backoff, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, token_orc
 from fragmill.llm.common import documents
 
 
@@ -18,6 +18,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_wrapper.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir), words=4, percent=85)
 
@@ -59,4 +64,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_ngram_jaccard, op4_stupid_backoff, op5_exact_dedup, op6_quality_rules, op7_mix_sources, op8_token_orc, op9_substring_dedup, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_html_wrapper, op3_ngram_jaccard, op4_stupid_backoff, op5_exact_dedup, op6_quality_rules, op7_mix_sources, op8_token_orc, op9_substring_dedup, op10_secret_scan)}
