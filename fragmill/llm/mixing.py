@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fragmill.llm.common import count_words, shared_table
+from fragmill.llm.common import SPACE, count_words, shared_table
 
 #: Rounds of the keyed permutations.
 ROUNDS = 20
@@ -61,7 +61,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
 
 
 def pack(sizes: DataFrame, block_words: int, seed: int, part_rows: int = 20_000) -> DataFrame:
-    """Where each document lies: source_no, block, row_id, words in that block."""
+    """Where each document lies: source_no, block, row_id, first word and words in that block."""
     parts = max(1, sizes.count() // part_rows + 1)
     order = F.xxhash64(F.lit(seed), "doc_id")
     rows = sizes.where("size > 0").select("row_id", "doc_id", "source_no", "size", order.alias("o"), F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), F.lit(parts)).alias("part"))
@@ -73,7 +73,7 @@ def pack(sizes: DataFrame, block_words: int, seed: int, part_rows: int = 20_000)
     cells = placed.select("source_no", "row_id", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     lo = F.greatest(F.col("start"), F.col("block") * block_words)
     hi = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
-    return cells.select("source_no", "block", "row_id", (hi - lo).alias("words"))
+    return cells.select("source_no", "block", "row_id", (lo - F.col("start")).alias("offset"), (hi - lo).alias("words"))
 
 
 def slots(goal: DataFrame, block_words: int, shard_slots: int, seed: int, chunk: int = 50_000) -> DataFrame:
@@ -93,17 +93,40 @@ def slots(goal: DataFrame, block_words: int, shard_slots: int, seed: int, chunk:
     return each.select(F.expr(f"at div {shard_slots}").alias("shard"), F.expr(f"at % {shard_slots}").alias("slot"), "source_no", "block", "epoch")
 
 
+def plan(sizes: DataFrame, block_words: int, shard_slots: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sizes with targets, slots, packed) for a written table of row_id, doc_id, source, size."""
+    goal = shared_table(targets(sizes), "mix-targets")
+    sized = sizes.join(goal, sizes["source"].eqNullSafe(goal["source"])).select(sizes["*"], "source_no", "source_size", "target")
+    sized = shared_table(sized, "mix-sized")
+    return sized, slots(goal, block_words, shard_slots, seed), pack(sized, block_words, seed)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 64, shard_slots: int = 8192, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with targets and taken words, slots of the mix, packed blocks)."""
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"))
     # Writing fixes the ids of rows; they only join, and order nothing but rows alike in id and size.
     sizes = shared_table(sizes.withColumn("row_id", F.monotonically_increasing_id()), "mix-sizes")
-    goal = shared_table(targets(sizes), "mix-targets")
-    sized = sizes.join(goal, sizes["source"].eqNullSafe(goal["source"])).select(sizes["*"], "source_no", "source_size", "target")
-    sized = shared_table(sized, "mix-sized")
-    packed = pack(sized, block_words, seed)
-    drawn = slots(goal, block_words, shard_slots, seed)
+    sized, drawn, packed = plan(sizes, block_words, shard_slots, seed)
     times = drawn.groupBy("source_no", "block").agg(F.count("*").alias("times"))
     taken = packed.join(times, ["source_no", "block"]).groupBy("row_id").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     out = sized.join(taken, "row_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "source_no", "row_id")
     return out, drawn, packed
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 64, shard_slots: int = 8192, seed: int = 17) -> DataFrame:
+    """The mix as documents: a row for each document and epoch with the words taken there.
+
+    A document taken whole keeps its text as it is; of one taken in part, the taken words
+    follow each other, joined by one space.  All columns stay; ``n_chars``, where there is one, is renewed.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"))
+    stored = shared_table(rows.withColumn("row_id", F.monotonically_increasing_id()), "mix-rows")
+    _, drawn, packed = plan(stored.select("row_id", "doc_id", "source", "size"), block_words, shard_slots, seed)
+    picks = packed.join(drawn, ["source_no", "block"]).groupBy("row_id", "epoch").agg(F.sort_array(F.collect_list(F.struct("offset", "words"))).alias("cells"), F.sum("words").alias("taken"))
+    out = stored.join(picks, "row_id")
+    words = F.filter(F.split(F.col("row")[text_col], f"{SPACE}+"), lambda w: w != "")
+    part = F.element_at(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("cells", lambda c: F.slice(w, (c["offset"] + 1).cast("int"), c["words"].cast("int")))), " ")), 1)
+    text = F.when(F.col("taken") == F.col("size"), F.col("row")[text_col]).otherwise(part)
+    out = out.select("row", text.alias("text"))
+    renewed = {text_col: F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return out.select(*[(F.col("row")[c] if c not in renewed else renewed[c]).alias(c) for c in docs.columns])
