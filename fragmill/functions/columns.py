@@ -5,15 +5,22 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fragmill.functions import cleavage, graph, safe
 
-ATOM = "struct<element:int,charge:int,isotope:int,atom_map:int,aromatic:boolean,chiral:int,written_h:int,implied_h:int,bracket:boolean,in_ring:boolean,degree:int,order_sum:int,environments:int>"
-BOND = "struct<a:int,b:int,kind:int,stereo:int,in_ring:boolean>"
-MOLECULE = f"struct<atoms:array<{ATOM}>,bonds:array<{BOND}>>"
 
+def _struct(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
 
-@F.pandas_udf("string")
+
+_INT, _BOOL = T.IntegerType(), T.BooleanType()
+ATOM = _struct(element=_INT, charge=_INT, isotope=_INT, atom_map=_INT, aromatic=_BOOL, chiral=_INT, written_h=_INT, implied_h=_INT, bracket=_BOOL, in_ring=_BOOL, degree=_INT, order_sum=_INT, environments=_INT)
+BOND = _struct(a=_INT, b=_INT, kind=_INT, stereo=_INT, in_ring=_BOOL)
+MOLECULE = _struct(atoms=T.ArrayType(ATOM), bonds=T.ArrayType(BOND))
+
+
+@F.pandas_udf(T.StringType())
 def _encode(s: pd.Series) -> pd.Series:
     return s.map(safe.encode_or_none)
 
@@ -49,8 +56,6 @@ def _parsed(text: str | None) -> graph.Molecule | None:
         return None
 
 
-
-
 @F.udf(MOLECULE, useArrow=True)
 def _molecule(text):
     m = _parsed(text)
@@ -62,7 +67,7 @@ def parse_smiles(smiles: Column | str) -> Column:
     return _molecule(F.col(smiles) if isinstance(smiles, str) else smiles)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _valid(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else _parsed(t) is not None)
 
@@ -71,7 +76,7 @@ def is_valid_smiles(smiles: Column | str) -> Column:
     return _valid(F.col(smiles) if isinstance(smiles, str) else smiles)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _scaffold(s: pd.Series) -> pd.Series:
     def one(text):
         m = _parsed(text)
@@ -85,7 +90,7 @@ def scaffold(smiles: Column | str) -> Column:
     return _scaffold(F.col(smiles) if isinstance(smiles, str) else smiles)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _written(s: pd.Series) -> pd.Series:
     from fragmill.functions.writer import write
 
