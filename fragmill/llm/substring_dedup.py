@@ -242,10 +242,10 @@ def _kept(length: int, text_at: int, ranges_at: int):
 
 def remove(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, n_removed and kept_text (kept words joined by one space)."""
-    ranges = repeats(docs, length, id_col, text_col).withColumnsRenamed({"doc_id": "_repeat_id", "text_key": "_repeat_key"})
     docs = docs.drop("n_words", "n_removed", "kept_text")
     (name,) = fresh(docs, "ranges")
+    ranges = repeats(docs, length, id_col, text_col).withColumnsRenamed({"doc_id": "_repeat_id", "text_key": "_repeat_key", "ranges": name})
     same = (docs[id_col].cast("long") == F.col("_repeat_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_repeat_key"))
-    rows = docs.join(ranges, same, "left").select(*docs.columns, F.col("ranges").alias(name))
+    rows = docs.join(ranges, same, "left").select(*docs.columns, name)
     schema = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
     return rows.mapInArrow(_kept(length, docs.columns.index(text_col), len(docs.columns)), schema)
