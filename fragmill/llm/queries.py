@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fragmill.llm import bpe_codec, exact_dedup, html_wrapper, lm_backoff, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, token_orc
 from fragmill.llm.common import documents
+from fragmill.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
