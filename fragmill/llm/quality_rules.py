@@ -24,7 +24,7 @@ from fragmill.llm.common import SPACE, WORD, fresh, shared_table
 
 #: rule -> (floor of the fence above, floor of the fence below; None: no such fence)
 RULES = {
-    "symbol_share": (0.15, None),
+    "symbol_share": (0.06, None),
     "dup_line_share": (0.40, None),
     "repeat_share": (0.35, None),
     "word_length": (12.0, 2.0),
