@@ -76,7 +76,7 @@ def pack(sizes: DataFrame, block_words: int, seed: int, part_rows: int = 20_000)
     return cells.select("source_no", "block", "row_id", (lo - F.col("start")).alias("offset"), (hi - lo).alias("words"))
 
 
-def slots(goal: DataFrame, block_words: int, shard_slots: int, seed: int, chunk: int = 50_000) -> DataFrame:
+def slots(goal: DataFrame, block_words: int, shard_slots: int, seed: int, chunk: int = 10_000) -> DataFrame:
     """The mix: shard, slot, source_no, block, epoch."""
     size, target = F.col("source_size"), F.col("target")
     plan = goal.where("source_size > 0").withColumn("blocks", F.ceil(size / block_words))
@@ -85,7 +85,8 @@ def slots(goal: DataFrame, block_words: int, shard_slots: int, seed: int, chunk:
     by_no = W.orderBy("source_no").rowsBetween(W.unboundedPreceding, 0)
     plan = plan.withColumn("first", F.sum("n_slots").over(by_no) - F.col("n_slots")).withColumn("all", F.sum("n_slots").over(W.orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     chunks = plan.where("n_slots > 0").withColumn("c", F.explode(F.expr(f"sequence(0L, (n_slots - 1) div {chunk})")))
-    chunks = chunks.repartition("source_no", "c")
+    # As many tasks as asked for: the plan takes so small a table for one task's work.
+    chunks = chunks.repartition(int(goal.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_no", "c")
     each = chunks.withColumn("q", F.explode(F.expr(f"sequence(c * {chunk}, least((c + 1) * {chunk}, n_slots) - 1)")))
     at = permuted(F.col("first") + F.col("q"), F.col("all"), F.lit(seed))
     block = permuted(F.expr("q % blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "source_no"))
