@@ -102,6 +102,10 @@ def plan(sizes: DataFrame, block_words: int, shard_slots: int, seed: int) -> tup
     return sized, slots(goal, block_words, shard_slots, seed), pack(sized, block_words, seed)
 
 
+# Sizes of tables made from the few rows of ``targets`` are guessed far too low, so the joins
+# below ask for a sort-merge join: a broadcast of slots or blocks would grow with the corpus.
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 64, shard_slots: int = 8192, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with targets and taken words, slots of the mix, packed blocks)."""
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"))
@@ -109,8 +113,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes = shared_table(sizes.withColumn("row_id", F.monotonically_increasing_id()), "mix-sizes")
     sized, drawn, packed = plan(sizes, block_words, shard_slots, seed)
     times = drawn.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    taken = packed.join(times, ["source_no", "block"]).groupBy("row_id").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    out = sized.join(taken, "row_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "source_no", "row_id")
+    taken = packed.hint("merge").join(times, ["source_no", "block"]).groupBy("row_id").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    out = sized.hint("merge").join(taken, "row_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "source_no", "row_id")
     return out, drawn, packed
 
 
@@ -123,8 +127,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"))
     stored = shared_table(rows.withColumn("row_id", F.monotonically_increasing_id()), "mix-rows")
     _, drawn, packed = plan(stored.select("row_id", "doc_id", "source", "size"), block_words, shard_slots, seed)
-    picks = packed.join(drawn, ["source_no", "block"]).groupBy("row_id", "epoch").agg(F.sort_array(F.collect_list(F.struct("offset", "words"))).alias("cells"), F.sum("words").alias("taken"))
-    out = stored.join(picks, "row_id")
+    picks = packed.hint("merge").join(drawn, ["source_no", "block"]).groupBy("row_id", "epoch").agg(F.sort_array(F.collect_list(F.struct("offset", "words"))).alias("cells"), F.sum("words").alias("taken"))
+    out = stored.hint("merge").join(picks, "row_id")
     words = F.filter(F.split(F.col("row")[text_col], f"{SPACE}+"), lambda w: w != "")
     part = F.element_at(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("cells", lambda c: F.slice(w, (c["offset"] + 1).cast("int"), c["words"].cast("int")))), " ")), 1)
     text = F.when(F.col("taken") == F.col("size"), F.col("row")[text_col]).otherwise(part)
