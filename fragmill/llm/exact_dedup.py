@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragmill.llm.common import SPACE, shared_table
+from fragmill.llm.common import SPACE, fresh, shared_table
 
 _COLLAPSED = "bucket long, key long, text string, n long, n_chars long, doc_id long"
 _CHAINED = "key long, chain int, text_sha256 string, keep_id long, keep_chars long, group_size long"
@@ -174,7 +174,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capac
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that dedup drops; a row that repeats id and text stays once."""
-    stay = dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep"), F.col("n_chars").alias("_keep_chars")).distinct()
+    keep, chars = fresh(docs, "keep", "keep_chars")
+    stay = dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(keep), F.col("n_chars").alias(chars)).distinct()
     n = F.length(F.coalesce(docs[text_col], F.lit(""))).cast("long")
-    rows = docs.join(stay, docs[id_col].cast("long").eqNullSafe(F.col("_keep")) & (n == F.col("_keep_chars")), "left_semi")
+    rows = docs.join(stay, docs[id_col].cast("long").eqNullSafe(F.col(keep)) & (n == F.col(chars)), "left_semi")
     return rows.dropDuplicates([id_col, text_col])
