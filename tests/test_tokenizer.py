@@ -193,3 +193,21 @@ def test_evaluation(spark, tmp_path, model):
 def test_trainer_uses_distributed_steps_beyond_the_limit(spark):
     df = tables.from_list(spark, ["CCCC", "CCO", "CCN", "junk junk"])
     assert BpeTrainer(265, local_limit=1).fit(df).merges == BpeTrainer(265).fit(df).merges
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from fragmill.__main__ import main
+
+    (tmp_path / "a.csv").write_text("smiles\nCCO\nCCCOCC\nnot_valid\n")
+    assert main([str(tmp_path / "a.csv"), "--train-n", "2", "--vocab-size", "265", "--shuffle"]) == 1.0
+    assert "3 of 3" in capsys.readouterr().out
+
+
+def test_sql_functions(spark):
+    from fragmill.functions.sql import register
+
+    register(spark)
+    assert spark.sql("SELECT safe_encode('CCCOCC') AS s").first()["s"] == "CCC1.O12.C2C"
+    assert spark.sql("SELECT is_valid_smiles('C(C') AS s").first()["s"] is False
+    rows = spark.sql("SELECT pos, fragment FROM explode_fragments('CCCOCC') ORDER BY pos").collect()
+    assert [(r["pos"], r["fragment"]) for r in rows] == [(0, "CCC1"), (1, "O12"), (2, "C2C")]
