@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -62,6 +64,19 @@ def drop_shared(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that nothing reads any more.
+
+    Its cleaner goes by the driver's garbage; Python hands its own over in the background, and
+    the cleaner works there as well, hence two rounds and the pauses.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that clash with none of ``df``'s, for helper columns."""
     taken = {c.lower() for c in df.columns}
@@ -85,7 +100,7 @@ def count_words(col: Column) -> Column:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered up to a fixed number of words."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -94,6 +109,13 @@ class WordHashes(dict):
         return value
 
 
+def pieces(batches, rows: int = 512):
+    """The same rows in smaller batches, so that what a step makes of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def hash_words(words: list[bytes], memo: WordHashes) -> np.ndarray:
     return np.fromiter((memo[w] for w in words), np.uint64, len(words))
 

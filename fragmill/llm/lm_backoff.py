@@ -9,7 +9,8 @@ texts to n-grams and pre-aggregates them, so that a very frequent n-gram is one
 chunk; entries go to count tables partitioned by n-gram hash.  Each partition sums its entries
 and answers every chunk with the totals, in the order asked.  The chunk joins them to its
 exploded n-grams and sums the log scores of each document.  Entries of one chunk and partition
-travel as packed arrays in one row.  What moves grows with the corpus, and no task takes more
+travel as packed arrays in one row, so rows are chunks times partitions; ``chunk_chars`` is to grow
+with the memory of a task to keep rows long on very large corpora.  What moves grows with the corpus, and no task takes more
 than its chunk or its partition.
 
 Defined results: words are runs of anything but ASCII white space, lower-cased A-Z; null, empty
@@ -26,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragmill.llm.common import WordHashes, hash_words, mix, shared_table
-from fragmill.llm.ngram_join import _released
+from fragmill.llm.common import WordHashes, hash_words, mix, release_shuffles, shared_table
 
 BACKOFF = 0.4
 #: Characters of text in a chunk, on average.
@@ -91,6 +91,8 @@ def _summed(batches):
         keys, at = np.unique(np.concatenate([e[1] for e in entries]), return_inverse=True)
         totals = np.bincount(at, weights=np.concatenate([e[2] for e in entries]), minlength=len(keys)).astype(np.int64)
         everything = int(totals.sum())
+        wide = bool(len(totals)) and int(totals.max()) >= 1 << 32
+        totals = totals if wide else totals.astype(np.uint32)
         at = np.split(at, np.cumsum([len(e[1]) for e in entries])[:-1])
         yield pa.RecordBatch.from_arrays(
             [
@@ -98,9 +100,10 @@ def _summed(batches):
                 pa.array([part] * len(entries), pa.int32()),
                 pa.array([order] * len(entries), pa.int32()),
                 pa.array([everything] * len(entries), pa.int64()),
+                pa.array([wide] * len(entries), pa.bool_()),
                 pa.array([totals[i].tobytes() for i in at], pa.binary()),
             ],
-            names=["chunk", "part", "gram", "everything", "totals"],
+            names=["chunk", "part", "gram", "everything", "wide", "totals"],
         )
 
 
@@ -114,14 +117,14 @@ def _scored(batches):
                 ids.append(batch.column(3)[i].as_py())
                 texts.append(grams(batch.column(4)[i].as_py().encode()))
             else:
-                totals[g].append(np.frombuffer(batch.column(6)[i].as_py(), np.int64))
+                totals[g].append(np.frombuffer(batch.column(7)[i].as_py(), np.int64 if batch.column(6)[i].as_py() else np.uint32))
                 everything += batch.column(5)[i].as_py() if g == 1 else 0
     if not ids:
         return
     tables = {}
     for g, which in ((1, 0), (0, 1), (2, 2)):
         keys = np.unique(np.concatenate([t[which] for t in texts]))
-        tables[g] = keys, np.concatenate(totals[g]) if totals[g] else np.zeros(0, np.int64)
+        tables[g] = keys, np.concatenate(totals[g]).astype(np.int64) if totals[g] else np.zeros(0, np.int64)
 
     def rest(g: int, x: np.ndarray) -> np.ndarray:
         """Counts of x's n-grams in all other documents."""
@@ -160,9 +163,10 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chun
     dealt = source.select("chunk", "text").repartitionById(chunks, F.col("chunk"))
     entries = dealt.mapInArrow(_counted(chunks), "part int, chunk int, gram int, keys binary, counts binary")
     entries = entries.repartitionById(chunks, F.col("part"))
-    answers = shared_table(entries.mapInArrow(_summed, "chunk int, part int, gram int, everything long, totals binary"), "backoff-totals")
-    _released(docs.sparkSession)
-    asked = source.select("chunk", F.lit(-1).alias("gram"), F.lit(-1).alias("part"), "doc_id", "text", F.lit(None).cast("long").alias("everything"), F.lit(None).cast("binary").alias("totals"))
-    told = answers.select("chunk", "gram", "part", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "everything", "totals")
+    answers = shared_table(entries.mapInArrow(_summed, "chunk int, part int, gram int, everything long, wide boolean, totals binary"), "backoff-totals")
+    del dealt, entries  # else their shuffle files stay
+    release_shuffles(docs.sparkSession)
+    asked = source.select("chunk", F.lit(-1).alias("gram"), F.lit(-1).alias("part"), "doc_id", "text", F.lit(None).cast("long").alias("everything"), F.lit(None).cast("boolean").alias("wide"), F.lit(None).cast("binary").alias("totals"))
+    told = answers.select("chunk", "gram", "part", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "everything", "wide", "totals")
     both = asked.unionByName(told).repartitionById(chunks, F.col("chunk")).sortWithinPartitions("gram", "part")
     return both.mapInArrow(_scored, "doc_id long, n_words long, n_seen_bigrams long, log_score double, mean_log_score double")

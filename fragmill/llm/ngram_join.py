@@ -25,14 +25,14 @@ Shingles are compared by 64-bit hashes of whole words, classes by 64-bit fingerp
 
 Defined results: null, empty or word-less texts have no shingles, and are linked with nothing,
 not even each other; fewer words than a shingle: the whole sequence is one shingle; repeated
-rows and ids are kept, ids that repeat form one component by their texts; other columns are not read;
-an empty table gives an empty result.
+rows and ids are kept, ids that repeat form one component by their texts; a null id is never
+the smallest, and texts that only null ids have are linked with equal sets alone; other columns
+are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import functools
-import gc
 import itertools
 
 import numpy as np
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragmill.llm.common import WordHashes, drop_shared, hash_words, mix, sequence_hashes, shared_table
+from fragmill.llm.common import WordHashes, drop_shared, fresh, hash_words, mix, pieces, release_shuffles, sequence_hashes, shared_table
 from fragmill.llm.components import components
 
 #: Bins of the histograms that bound a difference from below.
@@ -130,7 +130,8 @@ def _signed(words: int, percent: int):
     """doc_id, text -> a row for the document, and the signatures of each class of the batch."""
 
     def run(batches):
-        for batch in batches:
+        rows = 0
+        for batch in pieces(batches):
             ids = batch.column(0)
             seen, sizes, fps, sigs, owners = set(), [], [], [], []
             for t in batch.column(1).cast(pa.binary()):
@@ -143,7 +144,8 @@ def _signed(words: int, percent: int):
                     sigs.append(signatures(s, percent).view(np.int64))
                     owners.append(np.full(len(sigs[-1]), fp))
             n = len(sizes)
-            spread = mix(np.arange(n, dtype=np.uint64)).view(np.int64)  # rows of documents go anywhere
+            rows += n
+            spread = mix(np.arange(rows - n, rows, dtype=np.uint64)).view(np.int64)  # rows of documents go anywhere
             sig = np.concatenate([spread, *sigs])
             fp = pa.concat_arrays([pa.array(fps, pa.int64()), pa.array(np.concatenate(owners) if owners else [], pa.int64())])
             rest = len(sig) - n
@@ -208,7 +210,7 @@ def _verified(words: int, percent: int):
 
     def run(batches):
         now, own = None, None
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             leader, salt, kind, fp = (batch.column(i).to_pylist() for i in range(4))
             for i, t in enumerate(batch.column(4).cast(pa.binary())):
@@ -236,7 +238,7 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
 
 def _described(words: int):
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             sets = [shingles(t.as_py(), words) for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([histogram(s) for s in sets], pa.binary())], names=["fp", "size", "bins"])
 
@@ -278,12 +280,6 @@ def _pair_batch(out):
     return pa.RecordBatch.from_arrays([pa.array([int(x[0]) for x in out], pa.int64()), pa.array([int(x[1]) for x in out], pa.int64())], names=["a", "b"])
 
 
-def _released(spark) -> None:
-    """Let Spark delete shuffle files that nothing reads any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach) of each row of ``docs``."""
     spark = docs.sparkSession
@@ -292,7 +288,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     dealt = signed.repartition("sig").sortWithinPartitions("sig", "fp")
     table = shared_table(dealt.mapInArrow(_buckets, "sig long, leader long, fp long, doc_id long, n int"), "jaccard-buckets")
     del signed, dealt
-    _released(spark)
+    release_shuffles(spark)
     rows = table.where("sig IS NULL").select("doc_id", "fp", F.col("n").cast("long").alias("n_shingles"))
     buckets = table.where("sig IS NOT NULL").select("sig", "leader", "fp")
 
@@ -302,7 +298,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     # A class is looked up by the id of its smallest document; ids that repeat give several texts.
     texts = text.join(wanted, "doc_id").select("fp", "text")
     texts = shared_table(texts.mapInArrow(_own_text(words), "fp long, text string"), "jaccard-texts")
-    _released(spark)
+    release_shuffles(spark)
     links = shared_table(verify(stars, texts, words, percent), "jaccard-links")
 
     roots = shared_table(components(links), "jaccard-roots")
@@ -336,7 +332,7 @@ def _own_text(words: int):
     """Rows (fp, text) whose text belongs to the class, one for each class of the batch."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             seen, keep = set(), []
             for i, (fp, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()))):
                 ok = fp not in seen and fingerprint(shingles(t.as_py(), words)) == fp
@@ -351,5 +347,6 @@ def _own_text(words: int):
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group: that with the smallest id."""
     groups = join(docs, words, percent, id_col, text_col)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs[id_col].cast("long").eqNullSafe(F.col("_stay")), "left_semi")
+    (keep,) = fresh(docs, "keep")
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(keep)).distinct()
+    return docs.join(stay, docs[id_col].cast("long").eqNullSafe(F.col(keep)), "left_semi")
