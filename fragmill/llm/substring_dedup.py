@@ -32,8 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fragmill.llm.common import WordHashes, fresh, hash_words, mix, shared_table
-from fragmill.llm.ngram_join import _released
+from fragmill.llm.common import WordHashes, fresh, hash_words, mix, release_shuffles, shared_table
 
 #: Words of the region before and from an anchor on; their sum must be below the window's length.
 BEFORE, AFTER = 8, 16
@@ -206,13 +205,13 @@ def repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
     found = found.withColumns({"low": F.min("doc_id").over(by_key), "high": F.max("doc_id").over(by_key)}).where("low < high")
     mine = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("key", "first", "n")).alias("anchors"))  # as many as a text has
     mine = shared_table(mine, "repeat-anchors")
-    _released(docs.sparkSession)
+    release_shuffles(docs.sparkSession)
     hashed = source.join(mine, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "anchors")
     hashed = hashed.mapInArrow(_windowed(length), "key long, doc_id long, text_key long, first long, hashes binary")
     hashed = hashed.repartition("key").sortWithinPartitions("key", "doc_id")
     ranges = hashed.mapInArrow(_repeated, "doc_id long, text_key long, first long, end long")
     ranges = shared_table(ranges.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "end")).alias("ranges")), "repeat-ranges")
-    _released(docs.sparkSession)
+    release_shuffles(docs.sparkSession)
     return ranges
 
 
@@ -243,9 +242,9 @@ def _kept(length: int, text_at: int, ranges_at: int):
 def remove(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, n_removed and kept_text (kept words joined by one space)."""
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    (name,) = fresh(docs, "ranges")
-    ranges = repeats(docs, length, id_col, text_col).withColumnsRenamed({"doc_id": "_repeat_id", "text_key": "_repeat_key", "ranges": name})
-    same = (docs[id_col].cast("long") == F.col("_repeat_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_repeat_key"))
+    name, repeat_id, repeat_key = fresh(docs, "ranges", "repeat_id", "repeat_key")
+    ranges = repeats(docs, length, id_col, text_col).withColumnsRenamed({"doc_id": repeat_id, "text_key": repeat_key, "ranges": name})
+    same = (docs[id_col].cast("long") == F.col(repeat_id)) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col(repeat_key))
     rows = docs.join(ranges, same, "left").select(*docs.columns, name)
     schema = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
     return rows.mapInArrow(_kept(length, docs.columns.index(text_col), len(docs.columns)), schema)
