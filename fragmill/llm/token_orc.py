@@ -6,8 +6,10 @@ run-length encoding, keeps min/max row indexes and a Bloom filter of doc_id in e
 so a reader takes stripes in parallel and a look-up by id skips stripes by metadata.
 
 The encoder splits a text at ASCII white space, which no piece of the tokenizer's pattern and
-no composition of its normaliser crosses, and keeps the ids of words it has seen, up to a fixed
-number; the library encodes each word that is new to a batch.  Words are whole: nothing is cut.
+no composition of its normaliser crosses, and keeps the ids of words and pieces it has seen, up
+to a fixed number.  Words that are new to a batch go through the library's normaliser,
+pre-tokeniser and model; words of visible ASCII and Latin letters skip the first two where the
+tokenizer has the known normaliser and pattern, whose work on them is plain.  Words are whole: nothing is cut.
 
 Defined results: null or empty text is the end id alone; null ids come first; rows that repeat
 an id are all written, ties ordered by their token ids; special-token strings in a text are
@@ -17,8 +19,9 @@ ordinary text; other columns are not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
-import itertools
+import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -27,43 +30,100 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fragmill.llm.common import shared_path
-
-#: Words remembered by each worker, and the longest of them in bytes.
-KNOWN_WORDS, KNOWN_BYTES = 300_000, 48
+from fragmill.llm.common import pieces, shared_path
+
+#: Words and pieces remembered by each worker, besides those of a batch.
+KNOWN = 200_000
+
+# The normaliser and pattern whose effect on ASCII words is known.
+PLAIN_STEPS = ("NFC", "Replace", "Lowercase")
+PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words whose normal form is their lower case: visible ASCII and Latin letters that stay in the range.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The visible characters that stand for bytes: themselves where visible, else from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
+_BYTES = byte_alphabet()
+
+
+class Memo:
+    """A mapping of bounded size: the youngest entries, and those before them."""
+
+    def __init__(self):
+        self.now: dict = {}
+        self.before: dict = {}
+
+    def fill(self, keys, make) -> dict:
+        """The young entries, with all of ``keys`` among them."""
+        if len(self.now) >= KNOWN:
+            self.now, self.before = {}, self.now
+        now, before = self.now, self.before
+        for k in keys:
+            if k not in now:
+                found = before.get(k)
+                now[k] = make(k) if found is None else found
+        return now
+
+
+class Encoder:
+    """Texts to packed ids, word by word."""
+
+    def __init__(self, path: str, kind: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.kind = kind
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = (spec.get("normalizer") or {}).get("normalizers", [])
+        parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.plain = tuple(x["type"] for x in steps) == PLAIN_STEPS and [x["type"] for x in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"].get("Regex") == PLAIN_PATTERN
+        self.words, self.parts = Memo(), {}
+        self.tokenize = self.library.model.tokenize
+
+    def piece(self, text: str) -> bytes:
+        """Packed ids of a piece in the alphabet of bytes."""
+        return np.array([t.id for t in self.tokenize(text)], self.kind).tobytes()
+
+    def word(self, raw: bytes) -> bytes:
+        text = raw.decode()
+        if self.plain and _PLAIN.fullmatch(text):
+            out = []
+            for p in _PARTS.findall(text.lower()):
+                found = self.parts.get(p)
+                if found is None:
+                    if len(self.parts) >= KNOWN:
+                        self.parts.clear()
+                    found = self.parts[p] = self.piece(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES))
+                out.append(found)
+            return b"".join(out)
+        whole = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
+        parts = self.library.pre_tokenizer.pre_tokenize_str(whole) if self.library.pre_tokenizer else [(whole, None)]
+        return b"".join(self.piece(p) for p, _ in parts)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]
+        known = self.words.fill(set().union(*split), self.word)
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 @functools.lru_cache(maxsize=2)
-def tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found, {}
+def encoder(path: str, kind: str) -> Encoder:
+    return Encoder(path, kind)
 
 
 def encode_texts(path: str, texts: list[bytes]) -> list[np.ndarray]:
     """The ids of each text, as the library gives them without special tokens."""
-    found, known = tokenizer(path)
-    split = [t.split() for t in texts]
-    new = list(set().union(*split).difference(known)) if split else []
-    if len(known) + len(new) > KNOWN_WORDS:
-        known.clear()
-        new = list(set().union(*split))
-    rare = {}
-    for at in range(0, len(new), 4096):
-        words = new[at : at + 4096]
-        for word, got in zip(words, found.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
-            rare[word] = tuple(got.ids)
-    known.update((w, ids) for w, ids in rare.items() if len(w) <= KNOWN_BYTES)
-    if len(known) > KNOWN_WORDS:  # one batch with more words than are remembered
-        look = {**known, **rare}
-        known.clear()
-    else:
-        look = known if all(len(w) <= KNOWN_BYTES for w in rare) else {**known, **rare}
-    chain = itertools.chain.from_iterable
-    return [np.fromiter(chain(map(look.__getitem__, words)), np.uint32) for words in split]
+    return [np.frombuffer(x, "<u4") for x in encoder(path, "<u4").encode(texts)]
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> None:
@@ -73,20 +133,21 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col:
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
     cuts = ids.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], 10_000)).first()[0]  # one number a shard
     bounds = np.array(sorted(set(cuts or [])), np.int64)
-    wide = tokenizer(tokenizer_path)[0].get_vocab_size() > 1 << 16 or end_id >= 1 << 16
+    wide = encoder(tokenizer_path, "<u4").library.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
     kind = "<u4" if wide else "<u2"
+    end = np.array([end_id], kind).tobytes()
 
     def encode(batches):
-        for batch in batches:
+        for batch in pieces(batches, 1024):
             doc = batch.column(0)
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             shard = np.where(doc.is_valid().to_numpy(zero_copy_only=False), np.searchsorted(bounds, doc.fill_null(0).to_numpy(), side="left"), 0)
-            rows = [np.append(x, np.uint32(end_id)).astype(kind).tobytes() for x in encode_texts(tokenizer_path, texts)]
+            rows = [x + end for x in encoder(tokenizer_path, kind).encode(texts)]
             yield pa.RecordBatch.from_arrays([doc, pa.array(shard, pa.int32()), pa.array(rows, pa.binary())], names=["doc_id", "shard", "raw"])
 
     def unpack(batches):
         pos = offset = 0
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [np.frombuffer(r, kind) for r in batch.column(2).to_pylist()]
             n = np.array([len(r) for r in rows], np.int64)
             ends = np.cumsum(n)
@@ -122,7 +183,7 @@ def crc32(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32: of the ids as little-endian unsigned 32-bit integers."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             ids = batch.column(batch.schema.get_field_index("ids"))
             crc = [zlib.crc32(np.asarray(r.values).astype("<u4").tobytes()) for r in ids]
             n = [len(r.values) for r in ids]
