@@ -51,10 +51,12 @@ MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banners?|sponsor(?:ed|s)?|promos?|promotions?|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modals?|overlay|sidebars?|side|aside|menus?|nav|navbar|navigation|breadcrumbs?|comments?|respond|disqus|replies|share|sharing|social|related|recommended|recommendations|newsletter|subscribe|subscription|signup|login|search|footer|masthead|toolbar|widgets?|pagination|pager|skip|contentinfo|complementary|dialog|form|topbar|bottombar)(?:$|[\s_-])",
     re.I,
 )
+# Beginnings of classes that tell what an element goes with, not what it is.
+BESIDE = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without|not|is|show|hide)[_-]\S*", re.I)
 MAIN = re.compile(r"(?:^|[\s_-])(?:main|content|article|post|entry|story|articlebody)(?:$|[\s_-])", re.I)
 HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|$)|</?[a-zA-Z][^>]*$", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?][^>]*(?:>|$)|</?[a-zA-Z][^>]*$", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
 
 
@@ -73,7 +75,7 @@ class Node:
                     self.main |= value.lower() in ("articlebody", "main")
                     self.marks += f" {value}" if name == "role" else ""
                 elif name in ("class", "id"):
-                    self.marks += f" {value}"
+                    self.marks += f" {BESIDE.sub('', value)}"
 
     def boilerplate(self, inside: bool) -> bool:
         """Does the element hold what no article holds?  ``inside``: it lies in the container."""
