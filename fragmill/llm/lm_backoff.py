@@ -121,26 +121,27 @@ def _scored(batches):
                 everything += batch.column(5)[i].as_py() if g == 1 else 0
     if not ids:
         return
-    tables = {}
+    ends = np.cumsum([0, *(len(t[0]) for t in texts)])
+    found = {}  # gram -> (place of each position's n-gram, totals)
     for g, which in ((1, 0), (0, 1), (2, 2)):
-        keys = np.unique(np.concatenate([t[which] for t in texts]))
-        tables[g] = keys, np.concatenate(totals[g]).astype(np.int64) if totals[g] else np.zeros(0, np.int64)
+        at = np.unique(np.concatenate([t[which] for t in texts]), return_inverse=True)[1]
+        found[g] = at, np.concatenate(totals[g]).astype(np.int64) if totals[g] else np.zeros(0, np.int64)
 
-    def rest(g: int, x: np.ndarray) -> np.ndarray:
-        """Counts of x's n-grams in all other documents."""
-        own, at, n = np.unique(x, return_inverse=True, return_counts=True)
-        keys, total = tables[g]
-        return (total[np.searchsorted(keys, own)] - n)[at]
+    def rest(g: int, i: int) -> np.ndarray:
+        """Counts of document i's n-grams in all other documents."""
+        at, total = found[g]
+        own, back, n = np.unique(at[ends[i] : ends[i + 1]], return_inverse=True, return_counts=True)
+        return (total[own] - n)[back]
 
     n_words, scores, seen2 = [], [], []
-    for words, before, pairs in texts:
+    for i, (words, _, _) in enumerate(texts):
         n_words.append(len(words))
         if not len(words):
             scores.append(0.0)
             seen2.append(0)
             continue
         others = max(everything - len(words), 1)
-        c2, c0, c1 = rest(2, pairs), rest(0, before), rest(1, words)
+        c2, c0, c1 = rest(2, i), rest(0, i), rest(1, i)
         low = np.where(c1 > 0, BACKOFF * np.maximum(c1, 1), BACKOFF * BACKOFF) / others
         s = np.where(c2 > 0, np.maximum(c2, 1) / np.maximum(c0, 1), low)
         scores.append(math.fsum(np.log(s).tolist()))
