@@ -47,6 +47,8 @@ from fragmill.llm.components import components
 BINS = 64
 #: Classes of a bucket that one block of the full comparison holds, and partners of one salt.
 BLOCK, SALT = 1024, 256
+#: Signatures of a class that tell whether an earlier bucket has compared a pair.
+FIRSTS = 24
 
 _MEMO = WordHashes()
 _U = np.uint64
@@ -246,10 +248,15 @@ def _described(words: int):
 
 
 def _across(percent: int):
-    """Blocks in order (sig, i, j) -> pairs of different components that the bounds leave."""
+    """Blocks in order (sig, i, j) -> pairs of different components that the bounds leave.
 
-    def pairs(rows):
+    Near copies share most signatures.  Each row brings the smallest signatures of its class, and
+    a pair that shares a smaller one than the bucket's is left to that bucket.
+    """
+
+    def pairs(sig, rows):
         side, fp, root, size, bins = (np.array(x) for x in zip(*[(r[0], r[1], r[2], r[3], np.frombuffer(r[4], np.uint8)) for r in rows]))
+        smaller = [{s for s in r[5] if s < sig} for r in rows]
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         bins = bins.astype(np.int16)
         for i in left:
@@ -258,20 +265,20 @@ def _across(percent: int):
             if len(js):
                 far = np.abs(bins[js] - bins[i]).sum(axis=1)
                 js = js[far <= (100 - percent) * (size[js] + size[i]) // (100 + percent)]
-                yield from ((min(fp[i], fp[j]), max(fp[i], fp[j])) for j in js)
+                yield from ((min(fp[i], fp[j]), max(fp[i], fp[j])) for j in js if smaller[i].isdisjoint(smaller[j]))
 
     def run(batches):
         now, rows = None, []
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(8)]
+            cols = [batch.column(i).to_pylist() for i in range(9)]
             out = []
             for r in zip(*cols):
                 if r[:3] != now:
-                    out += set(pairs(rows)) if len(rows) > 1 else []
+                    out += set(pairs(now[0], rows)) if len(rows) > 1 else []
                     now, rows = r[:3], []
                 rows.append(r[3:])
             yield _pair_batch(out)
-        yield _pair_batch(list(set(pairs(rows))) if len(rows) > 1 else [])
+        yield _pair_batch(list(set(pairs(now[0], rows))) if len(rows) > 1 else [])
 
     return run
 
@@ -308,10 +315,11 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     if not mixed.isEmpty():
         described = texts.join(mixed.select("fp").distinct(), "fp", "left_semi").mapInArrow(_described(words), "fp long, size int, bins binary")
         blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        cells = mixed.join(described, "fp").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        firsts = mixed.groupBy("fp").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, FIRSTS).alias("firsts"))  # as many as a set has
+        cells = mixed.join(described, "fp").join(firsts, "fp").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
         cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-        cells = cells.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "fp", "root", "size", "bins")
+        cells = cells.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "fp", "root", "size", "bins", "firsts")
         cells = cells.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
         more = cells.mapInArrow(_across(percent), "a long, b long").distinct()
         tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
