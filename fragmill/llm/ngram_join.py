@@ -15,9 +15,10 @@ A signature is the 64-bit sum of a subset's hashed shingles.  So no link can be
 
 Steps: sets with equal fingerprints are one class, whose copies never meet each other.
 Signatures are dealt by value; a class with equal signatures is compared to the smallest of the
-bucket only (a star), and verified links join classes into components.  Buckets that still hold
+bucket only (a star): first by size and a histogram, whose distance bounds the difference
+from below, then exactly.  Verified links join classes into components.  Buckets that still hold
 several components are then compared fully across components, but in blocks of a bounded size,
-where a bound from 64-bin histograms drops pairs inside the worker before any row is made;
+where a bound from histograms drops pairs inside the worker before any row is made;
 what is left is verified exactly.  Verification takes texts again, and a class with many
 partners is salted.
 
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from fragmill.llm.common import WordHashes, drop_shared, fresh, hash_words, mix, pieces, release_shuffles, sequence_hashes, shared_table
 from fragmill.llm.components import components
 
-#: Bins of the histograms that bound a difference from below.
+#: Bins of the histograms that bound a difference from below, at least.
 BINS = 64
 #: Classes of a bucket that one block of the full comparison holds, and partners of one salt.
 BLOCK, SALT = 1024, 256
@@ -116,7 +117,19 @@ def _cells(hashed: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def histogram(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((mix(s) >> _U(7)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
+    """Shingles by bin, a byte each; the bins of two sets differ by no more than the sets.
+
+    At four shingles a bin even sets that share half of their content show the difference.
+    """
+    bins = BINS
+    while bins * 4 < len(s):
+        bins *= 2
+    return np.minimum(np.bincount(((mix(s) >> _U(7)) % _U(bins)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
+
+
+def folded(bins: bytes, n: int) -> np.ndarray:
+    """The histogram in ``n`` bins, a power of two that is no more than it has."""
+    return np.frombuffer(bins, np.uint8).reshape(-1, n).sum(axis=0, dtype=np.int32)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -233,20 +246,34 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     salted = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     members = salted.select(F.col("a").alias("leader"), "salt", F.lit(1).alias("kind"), F.col("b").alias("fp"))
     leaders = salts.select(F.col("a").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("fp"))
-    rows = members.unionByName(leaders).join(texts, "fp").select("leader", "salt", "kind", "fp", "text")
+    rows = members.unionByName(leaders).join(texts.select("fp", "text"), "fp").select("leader", "salt", "kind", "fp", "text")
     dealt = rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "kind")
     return dealt.mapInArrow(_verified(words, percent), "a long, b long")
 
 
-def _described(words: int):
+def _close(percent: int):
     def run(batches):
         for batch in pieces(batches):
-            sets = [shingles(t.as_py(), words) for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([histogram(s) for s in sets], pa.binary())], names=["fp", "size", "bins"])
+            size_a, size_b, bins_a, bins_b = (batch.column(i).to_pylist() for i in range(2, 6))
+            keep = []
+            for m, n, x, y in zip(size_a, size_b, bins_a, bins_b):
+                ok = min(m, n) * 100 >= max(m, n) * percent
+                if ok:
+                    k = min(len(x), len(y))
+                    ok = int(np.abs(folded(x, k) - folded(y, k)).sum()) <= difference(m + n, percent)
+                keep.append(ok)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def bounded(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and histograms do not rule a link out."""
+    sides = [texts.select(F.col("fp").alias(c), F.col("size").alias(f"size_{c}"), F.col("bins").alias(f"bins_{c}")) for c in "ab"]
+    rows = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "size_a", "size_b", "bins_a", "bins_b")
+    return rows.mapInArrow(_close(percent), "a long, b long")
+
+
 def _across(percent: int):
     """Blocks in order (sig, i, j) -> pairs of different components that the bounds leave.
 
@@ -255,10 +282,11 @@ def _across(percent: int):
     """
 
     def pairs(sig, rows):
-        side, fp, root, size, bins = (np.array(x) for x in zip(*[(r[0], r[1], r[2], r[3], np.frombuffer(r[4], np.uint8)) for r in rows]))
+        side, fp, root, size = (np.array([r[k] for r in rows]) for k in range(4))
+        few = min(len(r[4]) for r in rows)
+        bins = np.array([folded(r[4], few) for r in rows])
         smaller = [{s for s in r[5] if s < sig} for r in rows]
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        bins = bins.astype(np.int16)
         for i in left:
             js = right[(root[right] != root[i]) & ((side[i] == 0) | (fp[right] > fp[i]))]
             js = js[np.minimum(size[js], size[i]) * 100 >= np.maximum(size[js], size[i]) * percent]
@@ -304,19 +332,20 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     wanted = stars.select(F.col("a").alias("fp")).union(stars.select(F.col("b").alias("fp"))).distinct().join(classes, "fp")
     # A class is looked up by the id of its smallest document; ids that repeat give several texts.
     texts = text.join(wanted, "doc_id").select("fp", "text")
-    texts = shared_table(texts.mapInArrow(_own_text(words), "fp long, text string"), "jaccard-texts")
+    texts = shared_table(texts.mapInArrow(_own_text(words), "fp long, text string, size int, bins binary"), "jaccard-texts")
+    release_shuffles(spark)
+    likely = shared_table(bounded(stars, texts, percent), "jaccard-likely")
+    links = shared_table(verify(likely, texts, words, percent), "jaccard-links")
     release_shuffles(spark)
-    links = shared_table(verify(stars, texts, words, percent), "jaccard-links")
 
     roots = shared_table(components(links), "jaccard-roots")
     placed = buckets.join(roots, buckets["fp"] == roots["node"], "left").select("sig", "fp", F.coalesce("root", "fp").alias("root"))
     mixed = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low <> high")
     mixed = shared_table(placed.join(mixed.select("sig", "m"), "sig"), "jaccard-mixed")
     if not mixed.isEmpty():
-        described = texts.join(mixed.select("fp").distinct(), "fp", "left_semi").mapInArrow(_described(words), "fp long, size int, bins binary")
         blocks = F.ceil(F.col("m") / BLOCK).cast("int")
         firsts = mixed.groupBy("fp").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, FIRSTS).alias("firsts"))  # as many as a set has
-        cells = mixed.join(described, "fp").join(firsts, "fp").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        cells = mixed.join(texts.select("fp", "size", "bins"), "fp").join(firsts, "fp").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
         cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
         cells = cells.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "fp", "root", "size", "bins", "firsts")
@@ -337,17 +366,21 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
 
 
 def _own_text(words: int):
-    """Rows (fp, text) whose text belongs to the class, one for each class of the batch."""
+    """Rows (fp, text) whose text belongs to the class, one for each class of the batch, with size and histogram."""
 
     def run(batches):
         for batch in pieces(batches):
-            seen, keep = set(), []
-            for i, (fp, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()))):
-                ok = fp not in seen and fingerprint(shingles(t.as_py(), words)) == fp
+            seen, keep, size, bins = set(), [], [], []
+            for fp, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+                s = shingles(t.as_py(), words) if fp not in seen else ()
+                ok = bool(len(s)) and fingerprint(s) == fp
                 keep.append(ok)
                 if ok:
                     seen.add(fp)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+                    size.append(len(s))
+                    bins.append(histogram(s))
+            own = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(size, pa.int32()), pa.array(bins, pa.binary())], names=["fp", "text", "size", "bins"])
 
     return run
 

@@ -200,10 +200,10 @@ def test_across_compares_blocks():
     base = np.unique(rng.integers(0, 1 << 63, 100, dtype=np.uint64))
     far = np.unique(rng.integers(0, 1 << 63, 100, dtype=np.uint64))
     near = np.unique(np.concatenate([base[:96], far[:4]]))
-    rows = [(5, 0, 0, 2, fp, fp, len(s), ngram_join.histogram(s)) for fp, s in ((1, base), (2, far), (3, near))]
-    rows += [(5, 0, 1, side, fp, fp, len(s), ngram_join.histogram(s)) for side, fp, s in ((0, 1, base), (1, 4, near), (1, 5, far))]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=list("abcdefgh"))
+    rows = [(5, 0, 0, 2, fp, fp, len(s), ngram_join.histogram(s), [5]) for fp, s in ((1, base), (2, far), (3, near))]
+    rows += [(5, 0, 1, side, fp, fp, len(s), ngram_join.histogram(s), firsts) for side, fp, s, firsts in ((0, 1, base, [2, 5]), (1, 4, near, [3, 5]), (1, 5, far, [5]), (1, 6, near, [2, 5]))]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=list("abcdefghi"))
     found = {(a, b) for out in ngram_join._across(85)([batch.slice(0, 2), batch.slice(2)]) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())}
     assert found == {(1, 3), (1, 4)}
 
