@@ -4,9 +4,13 @@ Rules are shares: symbols of all word characters, repeated lines of all lines, r
 of all words, and the mean word length.  A KLL sketch of each rule is built for each
 (language, source); sketches are mergeable, so partitions build theirs before the shuffle and a
 hot source arrives as one sketch a task.  Groups with fewer than ``least`` documents use the
-merge of all sketches.  A document fails where it lies beyond its group's fence: the median plus
-``reach`` times the spread from the median to the 90th percentile (the 10th below), and never
-closer than a floor, as most clean groups have no spread at all.
+merge of all sketches, as few rows have no reliable quartiles.  A document fails where it lies
+beyond its group's fence: the median plus (below: less) ``reach`` times the spread, never closer
+than a floor, as most clean groups have no spread at all, and never beyond a ceiling.  The spread
+is the distance from the median to the nearer quartile, scaled to that of a normal distribution's
+90th percentile.  Junk on one side moves only the quartile of its side, so it doesn't widen the
+fence while it is less than half of a group; the ceiling holds where it is more.  A high share in
+a minority of a group's rows counts as junk, whatever it is.
 
 DataFrame and SQL functions only.
 
@@ -22,13 +26,15 @@ from pyspark.sql import functions as F
 
 from fragmill.llm.common import SPACE, WORD, fresh, shared_table
 
-#: rule -> (floor of the fence above, floor of the fence below; None: no such fence)
+#: rule -> floor and ceiling of the fence above, and of the fence below (None: no such fence)
 RULES = {
-    "symbol_share": (0.06, None),
-    "dup_line_share": (0.40, None),
-    "repeat_share": (0.35, None),
-    "word_length": (12.0, 2.0),
+    "symbol_share": ((0.06, 0.25), None),
+    "dup_line_share": ((0.40, 0.70), None),
+    "repeat_share": ((0.35, 0.50), None),
+    "word_length": ((12.0, 20.0), (2.0, 1.0)),
 }
+#: From a normal distribution's median: the 90th percentile by the upper quartile.
+TO_Q90 = 1.9
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -99,9 +105,10 @@ def fences(groups: DataFrame, least: int, reach: float) -> DataFrame:
         sketch = F.when(F.col("g_n") >= least, F.col(k)).otherwise(F.col(f"all_{k}"))
         q = lambda p: F.kll_sketch_get_quantile_double(sketch, F.lit(p))  # noqa: B023, E731
         mid = q(0.5)
-        out.append(F.greatest(F.lit(above), mid + reach * (q(0.9) - mid)).alias(f"{k}_above"))
+        far = reach * TO_Q90 * F.least(mid - q(0.25), q(0.75) - mid)
+        out.append(F.least(F.lit(above[1]), F.greatest(F.lit(above[0]), mid + far)).alias(f"{k}_above"))
         if below is not None:
-            out.append(F.least(F.lit(below), mid - reach * (mid - q(0.1))).alias(f"{k}_below"))
+            out.append(F.greatest(F.lit(below[1]), F.least(F.lit(below[0]), mid - far)).alias(f"{k}_below"))
     return table.select("g_lang", "g_source", *out)
 
 

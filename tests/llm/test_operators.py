@@ -312,6 +312,21 @@ def test_quality_verdicts(spark, empty):
     assert quality_rules.judge(empty).count() == 0 and quality_rules.keep_good(empty).count() == 0
 
 
+def test_junk_does_not_widen_its_groups_fence(spark):
+    rng = random.Random(5)
+    prose = lambda: [f"word{rng.randrange(5000)}" for _ in range(rng.randint(60, 120))]
+    rows, good = [], set()
+    for source, junk in (("s9", 27), ("s15", 45), ("s30", 90), ("s60", 180)):  # of 300 rows
+        for i in range(300):
+            rows.append((len(rows), (" #### " if i < junk else " ").join(prose()), "en", source, None))
+            good |= {len(rows) - 1} if i >= junk else set()
+    for i in range(300):  # symbols are usual here: shares of about 0.07 to 0.14
+        rows.append((len(rows), " ".join(w + "#" * (k % 20 < 12 + i % 9) for k, w in enumerate(prose())), "en", "code", None))
+        good.add(len(rows) - 1)
+    kept = {r["doc_id"] for r in quality_rules.judge(spark.createDataFrame(rows, SCHEMA)).where("kept").collect()}
+    assert kept == good
+
+
 # 7 mixing
 
 def fill(sizes, weights):
