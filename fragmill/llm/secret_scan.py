@@ -26,9 +26,10 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: Candidates of the entropy method: class -> (pattern, characters, threshold in bits).
+#: One may follow '=', as in KEY=value; before another character, '=' is no padding but ends a name.
 CLASSES = {
-    "hex": (r"(?<![A-Za-z0-9+/=_-])[0-9a-fA-F]{20,}(?![A-Za-z0-9+/=_-])", "0123456789abcdefABCDEF", 3.0),
-    "base64": (r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", 3.8),
+    "hex": (r"(?<![A-Za-z0-9+/_-])[0-9a-fA-F]{20,}(?![A-Za-z0-9+/=_-])", "0123456789abcdefABCDEF", 3.0),
+    "base64": (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", 3.8),
 }
 WINDOW = 20
 #: Candidates that match any of these are no secrets: digits only, one repeated unit, placeholders, paths.

@@ -508,3 +508,24 @@ def test_entropy_spans_and_allow_list(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: [(m["s"], m["e"]) for m in r["entropy"]] for r in secret_scan.scan(df).collect()}
     assert got == {0: [(7, 47)], 1: [], 2: [], 3: [], 4: []}
+
+
+def test_secrets_follow_an_equals_sign(spark):
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    drawn = lambda n, of=letters: "7" + "".join(rng.choice(of) for _ in range(n - 1))
+    texts = []
+    for before, value, after in [
+        ("AWS_SECRET_ACCESS_KEY=", drawn(40, letters + "+/"), "\nREGION=eu"),
+        ("export SERVICE_2_SIGNING_KEY=", drawn(40), ""),
+        ("AccountName=x;AccountKey=", drawn(64, letters + "+/") + "==", ";EndpointSuffix=y"),
+        ("https://a.example/b?se=2030&sig=", drawn(32), "&sp=r"),
+        ("AUTH=", drawn(40, "0123456789ABCDEF"), " ok"),
+        ("AUTH='", drawn(40, "0123456789ABCDEF"), "' ok"),
+        ("KEY==", drawn(40), ""),
+    ]:
+        texts.append((len(texts), before + value + after, [(len(before), len(before + value))]))
+    texts += [(len(texts) + i, t, []) for i, t in enumerate(["PATH=/usr/share/doc1/some/long/path/to/files", "N=1234567890123456789012345", "A_LONG_NAME_OF_1_SETTING_AND_MORE=on", "x=" + "abc1" * 10, "=" * 80])]
+    df = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")
+    got = {r["doc_id"]: [(m["s"], m["e"]) for m in r["entropy"]] for r in secret_scan.scan(df).collect()}
+    assert got == {i: spans for i, _, spans in texts}
