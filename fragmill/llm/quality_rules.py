@@ -5,12 +5,14 @@ of all words, and the mean word length.  A KLL sketch of each rule is built for
 (language, source); sketches are mergeable, so partitions build theirs before the shuffle and a
 hot source arrives as one sketch a task.  Groups with fewer than ``least`` documents use the
 merge of all sketches, as few rows have no reliable quartiles.  A document fails where it lies
-beyond its group's fence: the median plus (below: less) ``reach`` times the spread, never closer
-than a floor, as most clean groups have no spread at all, and never beyond a ceiling.  The spread
-is the distance from the median to the nearer quartile, scaled to that of a normal distribution's
-90th percentile.  Junk on one side moves only the quartile of its side, so it doesn't widen the
-fence while it is less than half of a group; the ceiling holds where it is more.  A high share in
-a minority of a group's rows counts as junk, whatever it is.
+beyond its group's fence: the median plus (below: less) ``reach`` times the spread, and a least
+distance per rule from the median, as most clean groups have no spread at all.  The spread is the
+distance from the median to the nearer quartile, scaled to that of a normal distribution's 90th
+percentile.  Shares also have a ceiling, and rows beyond one teach no fence.  Junk on one side
+moves only the quartile of its side, so it doesn't widen the fence while it is less than half of
+a group; the ceiling holds where it is more.  A high share in a minority of a group's rows counts
+as junk, whatever it is.  Small groups may be in languages with longer or shorter words than the
+others', so their fences of word length are fixed limits or wider.
 
 DataFrame and SQL functions only.
 
@@ -26,13 +28,17 @@ from pyspark.sql import functions as F
 
 from fragmill.llm.common import SPACE, WORD, fresh, shared_table
 
-#: rule -> floor and ceiling of the fence above, and of the fence below (None: no such fence)
+#: rule -> least distance of a fence from the median, ceiling of the fence above (None: no share)
 RULES = {
-    "symbol_share": ((0.06, 0.25), None),
-    "dup_line_share": ((0.40, 0.70), None),
-    "repeat_share": ((0.35, 0.50), None),
-    "word_length": ((12.0, 20.0), (2.0, 1.0)),
+    "symbol_share": (0.06, 0.25),
+    "dup_line_share": (0.40, 0.70),
+    "repeat_share": (0.35, 0.50),
+    "word_length": (1.5, None),
 }
+#: Rules with a fence below.
+BELOW = {"word_length"}
+#: Fences above and below of groups without quartiles of their own, at least and at most.
+SMALL = {"word_length": (12.0, 2.0)}
 #: From a normal distribution's median: the 90th percentile by the upper quartile.
 TO_Q90 = 1.9
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -90,9 +96,17 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def under_ceilings(scored: DataFrame) -> Column:
+    ok = F.lit(True)
+    for k, share in shares(scored).items():
+        if RULES[k][1] is not None:
+            ok &= share <= RULES[k][1]
+    return ok
+
+
 def sketches(scored: DataFrame, lang_col: str, source_col: str) -> DataFrame:
-    """A sketch of each rule for each language and source, over documents that pass the base rules."""
-    rows = scored.select(F.col(lang_col).alias("g_lang"), F.col(source_col).alias("g_source"), base_failed().alias("out"), *[c.alias(k) for k, c in shares(scored).items()])
+    """A sketch of each rule for each language and source, over documents that pass the base rules and ceilings."""
+    rows = scored.select(F.col(lang_col).alias("g_lang"), F.col(source_col).alias("g_source"), (base_failed() | ~under_ceilings(scored)).alias("out"), *[c.alias(k) for k, c in shares(scored).items()])
     return rows.where(~F.col("out")).groupBy("g_lang", "g_source").agg(F.count("*").alias("g_n"), *[F.kll_sketch_agg_double(k).alias(k) for k in RULES])
 
 
@@ -101,14 +115,19 @@ def fences(groups: DataFrame, least: int, reach: float) -> DataFrame:
     everything = groups.agg(*[F.kll_merge_agg_double(k).alias(f"all_{k}") for k in RULES])
     table = groups.withColumn("one", F.lit(1)).join(everything.withColumn("one", F.lit(1)), "one")  # a single row
     out = []
-    for k, (above, below) in RULES.items():
-        sketch = F.when(F.col("g_n") >= least, F.col(k)).otherwise(F.col(f"all_{k}"))
+    for k, (near, ceiling) in RULES.items():
+        own = F.col("g_n") >= least
+        sketch = F.when(own, F.col(k)).otherwise(F.col(f"all_{k}"))
         q = lambda p: F.kll_sketch_get_quantile_double(sketch, F.lit(p))  # noqa: B023, E731
         mid = q(0.5)
         far = reach * TO_Q90 * F.least(mid - q(0.25), q(0.75) - mid)
-        out.append(F.least(F.lit(above[1]), F.greatest(F.lit(above[0]), mid + far)).alias(f"{k}_above"))
-        if below is not None:
-            out.append(F.greatest(F.lit(below[1]), F.least(F.lit(below[0]), mid - far)).alias(f"{k}_below"))
+        far = F.greatest(F.lit(near), far)
+        above, below = mid + far, mid - far
+        if k in SMALL:
+            above, below = F.when(own, above).otherwise(F.greatest(F.lit(SMALL[k][0]), above)), F.when(own, below).otherwise(F.least(F.lit(SMALL[k][1]), below))
+        out.append((above if ceiling is None else F.least(F.lit(ceiling), above)).alias(f"{k}_above"))
+        if k in BELOW:
+            out.append(below.alias(f"{k}_below"))
     return table.select("g_lang", "g_source", *out)
 
 
@@ -116,10 +135,10 @@ def verdicts(scored: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     """``scored`` (from metrics, written once) with base_failed and kept."""
     limits = fences(sketches(scored, lang_col, source_col), least, reach)
     joined = scored.join(limits, scored[lang_col].eqNullSafe(F.col("g_lang")) & scored[source_col].eqNullSafe(F.col("g_source")), "left")
-    inside = F.lit(True)
+    inside = under_ceilings(scored)  # a group with no other rows has no fences
     for k, share in shares(scored).items():
         inside &= F.coalesce(share <= F.col(f"{k}_above"), F.lit(True))
-        if RULES[k][1] is not None:
+        if k in BELOW:
             inside &= F.coalesce(share >= F.col(f"{k}_below"), F.lit(True))
     return joined.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & inside}).drop(*limits.columns)
 

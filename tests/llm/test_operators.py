@@ -327,6 +327,19 @@ def test_junk_does_not_widen_its_groups_fence(spark):
     assert kept == good
 
 
+def test_fences_follow_the_groups_word_length(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    row = lambda lang, n: (len(rows), " ".join(word(n + rng.randint(-1, 1)) for _ in range(60)), lang, "a", None)
+    rows, good = [], set()
+    for lang, n, times, ok in [("en", 5, 300, True), ("en", 9, 20, False), ("en", 3, 20, False), ("zh", 30, 300, True), ("zh", 5, 20, False), ("few", 9, 20, True)]:
+        for _ in range(times):
+            good |= {len(rows)} if ok else set()
+            rows.append(row(lang, n))
+    kept = {r["doc_id"] for r in quality_rules.judge(spark.createDataFrame(rows, SCHEMA)).where("kept").collect()}
+    assert kept == good
+
+
 # 7 mixing
 
 def fill(sizes, weights):
