@@ -5,15 +5,17 @@ i becomes file i, its rows in ascending id order.  ORC stores array<int> columns
 run-length encoding, keeps min/max row indexes and a Bloom filter of doc_id in every stripe,
 so a reader takes stripes in parallel and a look-up by id skips stripes by metadata.
 
-The encoder splits a text at ASCII white space, which no piece of the tokenizer's pattern and
-no composition of its normaliser crosses, and keeps the ids of words and pieces it has seen, up
-to a fixed number.  Words that are new to a batch go through the library's normaliser,
-pre-tokeniser and model; words of visible ASCII and Latin letters skip the first two where the
-tokenizer has the known normaliser and pattern, whose work on them is plain.  Words are whole: nothing is cut.
+The ids are those of the library's ``encode`` with its settings untouched.  A text is first cut at
+the tokenizer's special strings, as the library does on the raw text; between them no piece of the
+tokenizer's pattern and no composition of its normaliser crosses ASCII white space.  So pieces are
+found in a whole text at once where it has visible ASCII and Latin letters only and the tokenizer
+has the known normaliser and pattern, whose work on those is plain; other words go through the
+library's normaliser and pre-tokeniser one by one.  Each piece goes through the library's model
+once, and up to a fixed number of pieces are remembered.  Texts are whole: nothing is cut.
 
 Defined results: null or empty text is the end id alone; null ids come first; rows that repeat
-an id are all written, ties ordered by their token ids; special-token strings in a text are
-ordinary text; other columns are not read; an empty table gives an empty result.
+an id are all written, ties ordered by their token ids; special strings in a text are their
+special ids; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,15 +34,16 @@ from pyspark.sql import functions as F
 
 from fragmill.llm.common import pieces, shared_path
 
-#: Words and pieces remembered by each worker, besides those of a batch.
-KNOWN = 200_000
+#: Words and pieces remembered by each worker: as many young ones, and as many older ones.
+KNOWN = 300_000
 
 # The normaliser and pattern whose effect on ASCII words is known.
 PLAIN_STEPS = ("NFC", "Replace", "Lowercase")
 PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words whose normal form is their lower case: visible ASCII and Latin letters that stay in the range.
-_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+_PLAIN = "!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_PLAIN_TEXT = re.compile(f"[{_PLAIN}\t-\r ]*")
+_PARTS = re.compile("[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u017f]+")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -53,27 +56,24 @@ def byte_alphabet() -> dict[int, str]:
 _BYTES = byte_alphabet()
 
 
-class Memo:
-    """A mapping of bounded size: the youngest entries, and those before them."""
+class Known(dict):
+    """key -> make(key), remembered for a bounded number of keys: the young ones, and those before them."""
 
-    def __init__(self):
-        self.now: dict = {}
-        self.before: dict = {}
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.before = make, {}
 
-    def fill(self, keys, make) -> dict:
-        """The young entries, with all of ``keys`` among them."""
-        if len(self.now) >= KNOWN:
-            self.now, self.before = {}, self.now
-        now, before = self.now, self.before
-        for k in keys:
-            if k not in now:
-                found = before.get(k)
-                now[k] = make(k) if found is None else found
-        return now
+    def __missing__(self, key):
+        if len(self) >= KNOWN:
+            self.before = dict(self)
+            self.clear()
+        found = self.before.get(key)
+        found = self[key] = self.make(key) if found is None else found
+        return found
 
 
 class Encoder:
-    """Texts to packed ids, word by word."""
+    """Texts to packed ids, piece by piece."""
 
     def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -81,39 +81,47 @@ class Encoder:
 
         self.kind = kind
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = (spec.get("normalizer") or {}).get("normalizers", [])
         parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         self.plain = tuple(x["type"] for x in steps) == PLAIN_STEPS and [x["type"] for x in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"].get("Regex") == PLAIN_PATTERN
-        self.words, self.parts = Memo(), {}
+        added = spec.get("added_tokens", [])
+        # Strings that the library takes out of the raw text wherever they are; of others only it knows the rules.
+        self.whole = any(x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"] for x in added)
+        self.special = {x["content"]: self.packed([x["id"]]) for x in added}
+        longest_first = sorted(self.special, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if added else None
         self.tokenize = self.library.model.tokenize
+        self.pieces, self.words = Known(self.piece), Known(self.word)
+
+    def packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
 
     def piece(self, text: str) -> bytes:
-        """Packed ids of a piece in the alphabet of bytes."""
-        return np.array([t.id for t in self.tokenize(text)], self.kind).tobytes()
+        """Packed ids of a lower-case piece."""
+        return self.packed([t.id for t in self.tokenize(text if text.isascii() else text.encode().decode("latin-1").translate(_BYTES))])
 
     def word(self, raw: bytes) -> bytes:
         text = raw.decode()
-        if self.plain and _PLAIN.fullmatch(text):
-            out = []
-            for p in _PARTS.findall(text.lower()):
-                found = self.parts.get(p)
-                if found is None:
-                    if len(self.parts) >= KNOWN:
-                        self.parts.clear()
-                    found = self.parts[p] = self.piece(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES))
-                out.append(found)
-            return b"".join(out)
+        if self.plain and _PLAIN_TEXT.fullmatch(text):
+            return b"".join(map(self.pieces.__getitem__, _PARTS.findall(text.lower())))
         whole = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
         parts = self.library.pre_tokenizer.pre_tokenize_str(whole) if self.library.pre_tokenizer else [(whole, None)]
-        return b"".join(self.piece(p) for p, _ in parts)
+        return b"".join(self.packed([t.id for t in self.tokenize(p)]) for p, _ in parts)
+
+    def ordinary(self, text: str) -> bytes:
+        """Packed ids of a text without special strings."""
+        if self.plain and _PLAIN_TEXT.fullmatch(text):
+            return b"".join(map(self.pieces.__getitem__, _PARTS.findall(text.lower())))
+        return b"".join(map(self.words.__getitem__, text.encode().split()))
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        known = self.words.fill(set().union(*split), self.word)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+    def encode(self, text: str) -> bytes:
+        if self.whole:
+            return self.packed(self.library.encode(text, add_special_tokens=False).ids)
+        if self.cut is None or not self.cut.search(text):
+            return self.ordinary(text)
+        return b"".join(self.special[x] if i % 2 else self.ordinary(x) for i, x in enumerate(self.cut.split(text)))
 
 
 @functools.lru_cache(maxsize=2)
@@ -121,9 +129,9 @@ def encoder(path: str, kind: str) -> Encoder:
     return Encoder(path, kind)
 
 
-def encode_texts(path: str, texts: list[bytes]) -> list[np.ndarray]:
-    """The ids of each text, as the library gives them without special tokens."""
-    return [np.frombuffer(x, "<u4") for x in encoder(path, "<u4").encode(texts)]
+def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
+    """The ids of each text, as the library gives them without adding special tokens."""
+    return [np.frombuffer(encoder(path, "<u4").encode(x), "<u4") for x in texts]
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> None:
@@ -138,11 +146,11 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col:
     end = np.array([end_id], kind).tobytes()
 
     def encode(batches):
+        pack = encoder(tokenizer_path, kind).encode
         for batch in pieces(batches, 1024):
             doc = batch.column(0)
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
             shard = np.where(doc.is_valid().to_numpy(zero_copy_only=False), np.searchsorted(bounds, doc.fill_null(0).to_numpy(), side="left"), 0)
-            rows = [x + end for x in encoder(tokenizer_path, kind).encode(texts)]
+            rows = [pack(t.as_py()) + end for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([doc, pa.array(shard, pa.int32()), pa.array(rows, pa.binary())], names=["doc_id", "shard", "raw"])
 
     def unpack(batches):
@@ -169,9 +177,9 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The rows of the files with ``start``: ids in all documents before."""
     rows = spark.read.schema("doc_id long, shard int, pos long, offset long, n_tokens long, ids array<int>").orc(path)
-    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("words"))  # one row a shard
+    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("words"))  # one row a shard, so that its broadcast is bounded by their number
     base = totals.select("shard", (F.sum("words").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, 0)) - F.col("words")).alias("base"))
-    return rows.join(base, "shard").withColumn("start", F.col("base") + F.col("offset")).drop("base")
+    return rows.join(F.broadcast(base), "shard").withColumn("start", F.col("base") + F.col("offset")).drop("base")
 
 
 def lookup(spark: SparkSession, path: str, doc_id: int) -> DataFrame:
@@ -184,10 +192,11 @@ def crc32(tokens: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in pieces(batches):
-            ids = batch.column(batch.schema.get_field_index("ids"))
-            crc = [zlib.crc32(np.asarray(r.values).astype("<u4").tobytes()) for r in ids]
-            n = [len(r.values) for r in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            ids = batch.column(2)
+            ends = ids.offsets.to_numpy().astype(np.int64) - ids.offsets[0].as_py()
+            raw = memoryview(ids.flatten().to_numpy().astype("<u4").tobytes())
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return tokens.select("doc_id", "start", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -398,7 +398,6 @@ def test_token_files(docs, empty, spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     path = common.shared_path(spark, "test-orc")
     token_orc.write(docs, path, WORDS, 1, shards=4)
     start = 0
@@ -415,15 +414,17 @@ def test_token_files(docs, empty, spark):
     assert [r["doc_id"] for r in sorted(token_orc.write_and_read(df, WORDS, 1).collect(), key=lambda r: r["start"])] == [None, None, 4, 4]
 
 
-def test_words_are_encoded_as_in_whole_texts():
+def test_pieces_are_encoded_as_in_whole_texts(monkeypatch):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(token_orc, "KNOWN", 50)  # so that pieces are forgotten, too
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     rng = random.Random(3)
-    alphabet = "abcXYZ019 \t\n.,'!-é́̈ßΣσς漢字  　İı😀가<|endoftext|>"
+    alphabet = [*"abcXYZ019 \t\n.,'!-é\u0301\u0308ßΣσς漢字\u00a0\u2003İı😀가×÷\x1c\x85", "'s", "'LL", "word ", "ÀÉ ", "<|endoftext|>", "<|startoftext|>", "<|endof"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(800)]
-    for text, ids in zip(texts, token_orc.encode_texts(WORDS, [x.encode() for x in texts])):
+    texts += ["".join(rng.choice("abcdeéñü ABC,.'ts0") for _ in range(300)) for _ in range(200)]
+    texts += ["hello <|endoftext|> world", "a<|startoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", " e<|endoftext|>\u0301"]
+    for text, ids in zip(texts, token_orc.encode_texts(WORDS, texts)):
         assert ids.tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
