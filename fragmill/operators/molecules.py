@@ -6,6 +6,8 @@ built-in expressions only: the rule table is a literal, so nothing is joined or
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,15 @@ def parsed(df: DataFrame, smiles: str = "smiles", to: str = "molecule") -> DataF
     return df.withColumn(to, parse_smiles(smiles))
 
 
+def per_string(df: DataFrame, add: Callable[[DataFrame], DataFrame], smiles: str = "smiles") -> DataFrame:
+    """``add`` applied to the distinct strings, joined to all rows: the kernel sees a string once.
+
+    Rows with a null string keep null results.
+    """
+    strings = df.where(F.col(smiles).isNotNull()).select(smiles).distinct()
+    return df.join(add(strings), smiles, "left")
+
+
 def atoms(df: DataFrame, *keys: str, molecule: str = "molecule") -> DataFrame:
     return df.select(*keys, F.posexplode(f"{molecule}.atoms").alias("atom", "a")).select(*keys, "atom", "a.*")
 
@@ -35,20 +46,29 @@ def in_environment(mask: Column, name: str) -> Column:
     return mask.bitwiseAND(cleavage.BIT[name]) != 0
 
 
-def cut_bonds(molecule: Column) -> Column:
-    """array<int>: positions of the bonds to cut."""
-    table = F.array(*[F.struct(F.lit(cleavage.BIT[a]).alias("l"), F.lit(cleavage.BIT[b]).alias("r"), F.lit(d).alias("d")) for a, b, d in cleavage.rules()])
+def _table() -> Column:
+    return F.array(*[F.struct(F.lit(a).alias("left_env"), F.lit(b).alias("right_env"), F.lit(cleavage.BIT[a]).alias("l"), F.lit(cleavage.BIT[b]).alias("r"), F.lit(d).alias("d")) for a, b, d in cleavage.rules()])
 
-    def cut(b: Column) -> Column:
-        left = F.element_at(molecule["atoms"], b["a"] + 1)["environments"]
-        right = F.element_at(molecule["atoms"], b["b"] + 1)["environments"]
 
-        def rule(r: Column) -> Column:
-            kind = F.when(r["d"], b["kind"] == DOUBLE).otherwise(b["kind"].isin(SINGLE, AROMATIC))
-            fits = lambda x, y: (x.bitwiseAND(r["l"]) != 0) & (y.bitwiseAND(r["r"]) != 0)
-            return kind & (fits(left, right) | fits(right, left))
+def _fits(molecule: Column, b: Column) -> Callable[[Column], Column]:
+    """Does a rule name the ends of bond ``b``?"""
+    left = F.element_at(molecule["atoms"], b["a"] + 1)["environments"]
+    right = F.element_at(molecule["atoms"], b["b"] + 1)["environments"]
 
-        return ~b["in_ring"] & F.exists(table, rule)
+    def rule(r: Column) -> Column:
+        kind = F.when(r["d"], b["kind"] == DOUBLE).otherwise(b["kind"].isin(SINGLE, AROMATIC))
+        fits = lambda x, y: (x.bitwiseAND(r["l"]) != 0) & (y.bitwiseAND(r["r"]) != 0)
+        return ~b["in_ring"] & kind & (fits(left, right) | fits(right, left))
 
-    numbered = F.transform(molecule["bonds"], lambda b, i: F.when(cut(b), i))
+    return rule
+
+
+def cut_bonds(molecule: Column) -> Column:
+    """array<int>: positions of the bonds to cut."""
+    numbered = F.transform(molecule["bonds"], lambda b, i: F.when(F.exists(_table(), _fits(molecule, b)), i))
     return F.filter(numbered, lambda i: i.isNotNull())
+
+
+def rule_hits(molecule: Column) -> Column:
+    """array<struct<left_env, right_env, ...>>: every rule that names a bond, for every bond."""
+    return F.flatten(F.transform(molecule["bonds"], lambda b: F.filter(_table(), _fits(molecule, b))))

@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragmill.functions.columns import safe_encode
+from fragmill.operators.molecules import per_string
 from fragmill.plans.model import FragmentTokenizer
+from fragmill.sources.shared import checkpointed
 
 
-def round_trips(df: DataFrame, model: FragmentTokenizer, smiles: str = "smiles", shuffle: bool = False) -> DataFrame:
-    """Add expected, decoded and ok: is the decoded string the encoded one (its fragments, if shuffled)?"""
-    out = model.encode_table(df, smiles, "ids", shuffle=shuffle, seed=0 if shuffle else None)
-    out = out.withColumn("decoded", model.decoded(F.col("ids"))).withColumn("expected", F.coalesce(safe_encode(smiles), F.col(smiles)))
-    same = F.array_sort(F.split("decoded", r"\.")) == F.array_sort(F.split("expected", r"\."))
-    return out.withColumn("ok", same if shuffle else F.col("decoded") == F.col("expected"))
+def round_trips(df: DataFrame, model: FragmentTokenizer, smiles: str = "smiles", shuffle: bool = False, reader: FragmentTokenizer | None = None) -> DataFrame:
+    """Add ids, expected, decoded and ok: is the decoded string the encoded one (its fragments, if shuffled)?
+
+    The kernel runs once for each distinct string.  ``reader`` decodes, if it is not the model itself.
+    """
+
+    def tested(strings: DataFrame) -> DataFrame:
+        out = model.encode_table(strings, smiles, "ids", shuffle=shuffle, seed=0 if shuffle else None, fragments_to="_parts")
+        out = out.withColumn("decoded", (reader or model).decoded(F.col("ids"))).withColumn("expected", F.coalesce(F.array_join("_parts", "."), F.col(smiles)))
+        same = F.array_sort(F.split("decoded", r"\.")) == F.array_sort(F.split("expected", r"\."))
+        return out.withColumn("ok", same if shuffle else F.col("decoded") == F.col("expected")).drop("_parts")
+
+    return per_string(df, tested, smiles)
 
 
 def accuracy(tested: DataFrame) -> DataFrame:
@@ -27,13 +35,23 @@ def failures(tested: DataFrame, smiles: str = "smiles") -> DataFrame:
     return tested.where(~F.col("ok")).select(F.col(smiles).alias("input"), "decoded")
 
 
-def run(train: DataFrame, test: DataFrame, vocab_size: int = 1000, shuffle: bool = False, failures_path: str | None = None) -> DataFrame:
-    """Train, test, write failures as CSV if asked to; returns the accuracy table."""
+def first_failures(tested: DataFrame, order: str, n: int = 10, smiles: str = "smiles") -> DataFrame:
+    """The first ``n`` failures in the given order, as the command line prints them."""
+    return tested.where(~F.col("ok")).orderBy(order).limit(n).select(F.col(order), F.col(smiles).alias("input"), "decoded")
+
+
+def run_tested(train: DataFrame, test: DataFrame, vocab_size: int = 1000, shuffle: bool = False, failures_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Train and test; write failures as CSV if asked to.  Returns the accuracy table and the tested rows."""
     from fragmill.plans.trainer import BpeTrainer
 
-    tested = round_trips(test, BpeTrainer(vocab_size).fit(train), shuffle=shuffle)
+    tested = checkpointed(round_trips(test, BpeTrainer(vocab_size).fit(train), shuffle=shuffle))
     if failures_path:
         from fragmill.sources.tables import write_failures
 
         write_failures(failures(tested), failures_path)
-    return accuracy(tested)
+    return accuracy(tested), tested
+
+
+def run(train: DataFrame, test: DataFrame, vocab_size: int = 1000, shuffle: bool = False, failures_path: str | None = None) -> DataFrame:
+    """The accuracy table of ``run_tested``."""
+    return run_tested(train, test, vocab_size, shuffle, failures_path)[0]

@@ -41,6 +41,98 @@ ACCEPTED = ["c1ccccc1", "C(=O)O", "CC(C)C", "CC)C", "CC=", "C(C.C", "C11", "CSi"
 REJECTED = ["C1CCC", "C[C@H](C1=C(F)C=C(C", "not_a_smiles???", "not_valid", "C(C", "1CC", "C%1", "C C", "[Co]", "[CH10]", "[se]", "C$C"]
 
 
+# Strings with marks of chirality and direction, isotopes, maps, charges, written hydrogens and ring
+# numbers from 10 on, and the encoded string.
+MARKED: list[tuple[str, str]] = [
+    ("N[C@@H](C)C(=O)O", "C[C@@H](C(=O)O)N"),
+    ("C[C@H](N)C(=O)O", "C[C@@H](C(=O)O)N"),
+    ("OC(=O)[C@@H](N)C", "C[C@@H](C(=O)O)N"),
+    ("N[C@H](C)C(=O)O", "C[C@H](C(=O)O)N"),
+    ("[H][C@@](C)(N)C(=O)O", "[H][C@](C)(C(=O)O)N"),
+    ("C[C@@](F)(Cl)Br", "C[C@@](F)(Cl)Br"),
+    ("C[C@](F)(Br)Cl", "C[C@@](F)(Cl)Br"),
+    ("C[C@H]1CCCO1", "C1C[C@@H](OC1)C"),
+    ("C[C@@H]1OCCC1", "C1C[C@@H](OC1)C"),
+    ("CN1CC[C@H](O)C1", "N1(CC[C@@H](C1)O)C"),
+    ("C[S@](=O)CC", "[S@@](C)(CC)=O"),
+    ("F/C=C/F", "F/C=1.C=1/F"),
+    ("F/C=C\\F", "F/C=1.C=1\\F"),
+    ("C(\\F)=C/F", "C=1\\F.C=1/F"),
+    ("C1CC/C=C/CCC1", "C1CCC\\C=C\\CC1"),
+    ("C1CC/C=C\\CCC1", "C1CCC/C=C\\CC1"),
+    ("[13CH3]C", "C[13CH3]"),
+    ("[2H]C([2H])[2H]", "[2H]C([2H])[2H]"),
+    ("CC[CH2:1][OH:2]", "CC[CH2:1][OH:2]"),
+    ("[13C]1CCCCC1C[238U]C[NH3+]", "[13C]1CCCCC12.C2[238U]C[NH3+]"),
+    ("COC[CH2:1][CH2:2]O[CH:2]C[OH:3]", "C1[CH2:1][CH2:2]2.[CH:2]3C[OH:3].CO1.O23"),
+    ("[O-][n+]1ccccc1", "[n+]1([O-])ccccc1"),
+    ("[nH]1cccc1", "c1cc[nH]c1"),
+    ("[Fe+2]", "[Fe+2]"),
+    ("[CH3-]", "[CH3-]"),
+    ("C=1CCCCC1", "C1=CCCCC1"),
+    ("C1CCCCC=1", "C1=CCCCC1"),
+    ("COC%10CCCC%10", "C1%11CCCC1.CO%11"),
+    ("CCOCCOCCOCCOCCOCC", "C3C4.C5C6.C7C8.C9C%10.CC1.O13.O45.O67.O89.O%102.C2C"),
+]
+# String, and the string written without cuts.
+WRITTEN: list[tuple[str, str]] = [
+    ("F/C=C/F", "C(=C/F)\\F"),
+    ("F/C=C\\F", "C(=C\\F)\\F"),
+    ("C(\\F)=C/F", "C(=C/F)\\F"),
+    ("COC%10CCCC%10", "C1CCC(C1)OC"),
+    ("C1234C567C89%10C%11%12%13C1C5C8C%11C2C6C9C%12C3C7C%10C4%13", "C359%12C26%10C17%11C48%13C(C1C2C34)C5C6C7C8C9C%10C%11C%12%13"),
+]
+# A molecule for each rule of the table, by its environments.
+RULES: list[tuple[str, str, str]] = [
+    ("acyl", "ether_o", "CC(=O)OC1CC1"),
+    ("acyl", "amine_n", "CC(=O)N(C)C"),
+    ("acyl", "ring_amide_n", "CC(=O)N1CCCC1=O"),
+    ("ether_o", "sp3_c", "CCOC"),
+    ("ether_o", "hetero_ring_c", "COC1CCCCO1"),
+    ("ether_o", "arom_c_hetero", "COc1ccccn1"),
+    ("ether_o", "carbo_ring_c", "COC1CCCC1"),
+    ("ether_o", "arom_c_ring", "COc1ccccc1"),
+    ("sp3_c", "amine_n", "CCNC"),
+    ("sp3_c", "thioether_s", "CCSC"),
+    ("amine_n", "sulfonyl", "CNS(C)(=O)=O"),
+    ("amine_n", "arom_c_hetero", "CNc1ccccn1"),
+    ("amine_n", "arom_c_ring", "CNc1ccccc1"),
+    ("amine_n", "hetero_ring_c", "CNC1CCCCO1"),
+    ("amine_n", "carbo_ring_c", "CNC1CCCC1"),
+    ("open_acyl", "hetero_ring_c", "CC(=O)C1CCCCO1"),
+    ("open_acyl", "arom_c_hetero", "CC(=O)c1ccccn1"),
+    ("open_acyl", "carbo_ring_c", "CC(=O)C1CCCC1"),
+    ("open_acyl", "arom_c_ring", "CC(=O)c1ccccc1"),
+    ("alkene_c", "alkene_c", "CC=CC"),
+    ("open_sp3_c", "arom_n", "CCn1cccc1"),
+    ("open_sp3_c", "ring_amide_n", "CCN1CCCC1=O"),
+    ("open_sp3_c", "hetero_ring_c", "CCC1CCCCO1"),
+    ("open_sp3_c", "arom_c_hetero", "CCc1ccccn1"),
+    ("open_sp3_c", "carbo_ring_c", "CCC1CCCC1"),
+    ("open_sp3_c", "arom_c_ring", "CCc1ccccc1"),
+    ("arom_n", "hetero_ring_c", "c1ccn(C2CCCCO2)c1"),
+    ("arom_n", "arom_c_hetero", "c1ccn(-c2ccccn2)c1"),
+    ("arom_n", "carbo_ring_c", "c1ccn(C2CCCC2)c1"),
+    ("arom_n", "arom_c_ring", "c1ccn(-c2ccccc2)c1"),
+    ("ring_amide_n", "hetero_ring_c", "O=C1CCCN1C1CCCCO1"),
+    ("ring_amide_n", "arom_c_hetero", "O=C1CCCN1c1ccccn1"),
+    ("ring_amide_n", "carbo_ring_c", "O=C1CCCN1C1CCCC1"),
+    ("ring_amide_n", "arom_c_ring", "O=C1CCCN1c1ccccc1"),
+    ("thioether_s", "hetero_ring_c", "CSC1CCCCO1"),
+    ("thioether_s", "arom_c_hetero", "CSc1ccccn1"),
+    ("thioether_s", "carbo_ring_c", "CSC1CCCC1"),
+    ("thioether_s", "arom_c_ring", "CSc1ccccc1"),
+    ("hetero_ring_c", "arom_c_hetero", "C1CCOC1c1ccccn1"),
+    ("hetero_ring_c", "carbo_ring_c", "C1CCOC1C1CCCC1"),
+    ("hetero_ring_c", "arom_c_ring", "C1CCOC1c1ccccc1"),
+    ("arom_c_hetero", "arom_c_hetero", "c1ccnc(-c2ccccn2)c1"),
+    ("arom_c_hetero", "carbo_ring_c", "C1CCCC1c1ccccn1"),
+    ("arom_c_hetero", "arom_c_ring", "c1ccc(-c2ccccn2)cc1"),
+    ("carbo_ring_c", "arom_c_ring", "C1CCCC1c1ccccc1"),
+    ("arom_c_ring", "arom_c_ring", "c1ccc(-c2ccccc2)cc1"),
+]
+
+
 def molecules(spark: SparkSession) -> DataFrame:
     """mol_id, smiles."""
     return spark.createDataFrame([(i, m[0]) for i, m in enumerate(MOLECULES)], "mol_id long, smiles string")

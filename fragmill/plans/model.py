@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from fragmill.functions import safe
 from fragmill.functions.columns import safe_fragments
 from fragmill.operators import tokens as tk
+from fragmill.sources.shared import checkpointed
 
 # Special tokens in the order of their ids.
 SPECIAL = (".", "<pad>", "<bos>", "<eos>", "<unk>")
@@ -211,8 +212,11 @@ class FragmentTokenizer:
 
         return run(fragments)
 
-    def encode_table(self, df: DataFrame, smiles: str = "smiles", to: str = "ids", shuffle: bool = False, seed: int | None = None, add_special_tokens: bool = False, max_length: int | None = None, pad: bool = False) -> DataFrame:
-        """Add ``to``: array<int> for each row.  Rows that are an additional token skip the kernel."""
+    def encode_table(self, df: DataFrame, smiles: str = "smiles", to: str = "ids", shuffle: bool = False, seed: int | None = None, add_special_tokens: bool = False, max_length: int | None = None, pad: bool = False, fragments_to: str | None = None) -> DataFrame:
+        """Add ``to``: array<int> for each row.  Rows that are an additional token skip the kernel.
+
+        ``fragments_to`` keeps the fragments as well (null for additional tokens).
+        """
         known = self.additional_ids()
         table = F.create_map(*[x for t, i in known.items() for x in (F.lit(t), F.lit(i))]) if known else None
         hit = F.try_element_at(table, F.col(smiles)) if known else F.lit(None).cast("int")
@@ -225,10 +229,12 @@ class FragmentTokenizer:
             ids = tk.truncated(ids, max_length - 2 if add_special_tokens else max_length)
         if add_special_tokens:
             ids = tk.wrapped(ids, self.bos_token_id, self.eos_token_id)
-        out = out.withColumn(to, ids).drop("_fragments")
+        out = out.withColumn(to, ids)
+        out = out.withColumnRenamed("_fragments", fragments_to) if fragments_to else out.drop("_fragments")
         if pad and max_length is not None:
             return out.withColumn(to, tk.padded(F.col(to), max_length, self.pad_token_id))
         if pad:
+            out = checkpointed(out)  # the longest row must be known first; the kernel runs once
             longest = out.agg(F.max(F.size(to))).first()[0] or 0
             return out.withColumn(to, tk.padded(F.col(to), longest, self.pad_token_id))
         return out

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fragmill.functions import cleavage, graph
 from fragmill.functions.columns import is_valid_smiles, safe_encode, safe_fragments, write_smiles
 from fragmill.operators import assembly, molecules
 from fragmill.operators import tokens as tk
 from fragmill.plans import evaluate
-from fragmill.plans.fixtures import ACCEPTED, MOLECULES, REJECTED, SCAFFOLDS, values
+from fragmill.plans.fixtures import ACCEPTED, MARKED, MOLECULES, REJECTED, RULES, SCAFFOLDS, WRITTEN, values
 from fragmill.plans.fixtures import molecules as fixture
 from fragmill.plans.model import FragmentTokenizer
-from fragmill.plans.trainer import exploded_fragments, learn
+from fragmill.plans.trainer import BpeTrainer, train_from_iterator, weighted_fragments
+from fragmill.sources import tables as sources
+from fragmill.sources.shared import shared_file
 from fragmill.streaming.encode import encoded
 
 QUERIES, ORACLES = {}, {}
@@ -76,7 +76,7 @@ def lex_valid_words(spark, sf_dir):
 @query(_sql("part", "p_partkey", [(s, True) for s in ACCEPTED] + [(s, False) for s in REJECTED], "smiles, ok", "p_partkey, smiles, ok AS accepted"))
 def accepted_strings(spark, sf_dir):
     rows = keyed(spark, sf_dir, "part", "p_partkey", [(s,) for s in ACCEPTED + REJECTED], "smiles string")
-    return rows.withColumn("accepted", is_valid_smiles("smiles"))
+    return molecules.per_string(rows, lambda d: d.withColumn("accepted", is_valid_smiles("smiles"))).select("p_partkey", "smiles", "accepted")
 
 
 @query(_sql("part", "p_partkey", _STRINGS, "smiles", "p_partkey, array_to_string(list_transform(regexp_extract_all(regexp_replace(smiles, '\\[.*?\\]', '', 'g'), '%[0-9][0-9]|[0-9]'), lambda x: CAST(CAST(replace(x, '%', '') AS INT) AS VARCHAR)), ' ') AS numbers"))
@@ -108,28 +108,193 @@ def safe_encode_batch(spark, sf_dir):
 @query(_sql("orders", "o_orderkey", _GOLD, "smiles, safe", "fragment, count(*) AS n", f", unnest({_FRAGMENTS}) u(fragment) GROUP BY 1"))
 def fragment_counts(spark, sf_dir):
     rows = keyed(spark, sf_dir, "orders", "o_orderkey", _STRINGS, "smiles string")
-    return tk.fragment_counts(exploded_fragments(rows))
+    return weighted_fragments(rows)
 
 
 @query(_sql("customer", "c_custkey", [(m[0], m[2]) for m in MOLECULES if m[1] is not None], "smiles, cuts", "c_custkey, CAST(cuts AS INT) AS n_cuts"))
 def cut_bond_counts(spark, sf_dir):
     """Cuts found with built-in expressions over the parsed struct."""
     rows = keyed(spark, sf_dir, "customer", "c_custkey", [(m[0],) for m in MOLECULES if m[1] is not None], "smiles string")
-    cut = molecules.parsed(rows).withColumn("cuts", molecules.cut_bonds(F.col("molecule")))
-    return cut.select("c_custkey", F.size("cuts").alias("n_cuts"))
+    cut = molecules.per_string(rows, lambda d: molecules.parsed(d).select("smiles", F.size(molecules.cut_bonds(F.col("molecule"))).alias("n_cuts")))
+    return cut.select("c_custkey", "n_cuts")
 
 
 @query(_sql("customer", "c_custkey", [(m[0], m[1]) for m in MOLECULES if m[1] is not None and not m[2] and "*" not in m[0]], "smiles, safe", "c_custkey, safe AS written"))
 def written_uncut(spark, sf_dir):
     rows = keyed(spark, sf_dir, "customer", "c_custkey", [(m[0],) for m in MOLECULES if m[1] is not None and not m[2] and "*" not in m[0]], "smiles string")
-    return rows.select("c_custkey", write_smiles("smiles").alias("written"))
-
-
-@query()
+    return molecules.per_string(rows, lambda d: d.withColumn("written", write_smiles("smiles"))).select("c_custkey", "written")
+
+
+def _graphs(strings: list[str]) -> str:
+    """SQL: atoms and bonds of the strings, as literals; everything else is worked out in SQL."""
+    atoms, bonds = [], []
+    for i, text in enumerate(strings):
+        m = graph.parse(text)
+        if m is not None:
+            atoms += [(i, a, m.element[a], m.charge[a], m.aromatic[a], m.written_h[a], m.implied_h[a], m.bracket[a]) for a in range(len(m))]
+            bonds += [(i, k, a, b, m.order[k]) for k, (a, b) in enumerate(m.ends)]
+    return f"""
+atoms AS (SELECT * FROM {values(atoms, "t(mol, i, z, q, ar, wh, ih, br)")}), bonds AS (SELECT * FROM {values(bonds, "t(mol, k, a, b, o)")}),
+ends AS (SELECT mol, k, a, b, o FROM bonds UNION ALL SELECT mol, k, b, a, o FROM bonds),
+reach(mol, k, node) AS (SELECT mol, k, a FROM bonds UNION SELECT r.mol, r.k, e.b FROM reach r JOIN ends e ON e.mol = r.mol AND e.a = r.node AND e.k <> r.k),
+rings AS (SELECT b.*, EXISTS (SELECT 1 FROM reach r WHERE r.mol = b.mol AND r.k = b.k AND r.node = b.b) AS ring FROM bonds b),
+near AS (SELECT e.mol, e.k, e.a AS i, e.b AS j, e.o, r.ring, n.z, n.ar FROM ends e JOIN rings r USING (mol, k) JOIN atoms n ON n.mol = e.mol AND n.i = e.b),
+sums AS (SELECT a.*, count(n.k) AS degree, coalesce(bool_or(n.ring), false) AS in_ring, coalesce(sum(CASE n.o WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 1 THEN 1 WHEN 4 THEN 1 END), 0) AS order_sum,
+  coalesce(bool_or(n.o = 2 AND n.z = 8), false) AS keto, coalesce(bool_or(n.o = 2), false) AS dbl FROM atoms a LEFT JOIN near n ON n.mol = a.mol AND n.i = a.i GROUP BY ALL),
+f AS (SELECT s.*, n.*, x.keto AS near_keto FROM sums s LEFT JOIN (SELECT mol AS m2, i AS i2, j, o, ring, z AS nz, ar AS nar FROM near) n ON n.m2 = s.mol AND n.i2 = s.i LEFT JOIN (SELECT mol AS m3, i AS i3, keto FROM sums) x ON x.m3 = n.m2 AND x.i3 = n.j),
+env AS (SELECT mol, i, z, ar, in_ring, degree, order_sum, wh, ih, br,
+  z = 6 AND NOT ar AND degree = 3 AND keto AND bool_or(nz IN (0, 6, 7, 8)) AS acyl,
+  z = 8 AND NOT ar AND degree = 2 AND bool_or(o = 1 AND NOT ring AND nz IN (0, 1, 6)) AS ether_o,
+  z = 7 AND NOT ar AND degree > 1 AND NOT dbl AND bool_and(o <> 1 OR nz IN (0, 1, 6, 16)) AND NOT bool_or(ring AND nz = 6 AND near_keto) AS amine_n,
+  z = 7 AND bool_or(ring AND nz = 6 AND near_keto) AND bool_or(ring AND nz IN (6, 7, 8, 16)) AS ring_amide_n,
+  z = 6 AND NOT ar AND degree > 1 AND NOT dbl AND bool_or(o = 1 AND NOT ring AND nz = 6) AS sp3_c,
+  z = 6 AND NOT ar AND bool_or(ring AND nz IN (7, 8, 16)) AS hetero_ring_c,
+  z = 6 AND ar AND bool_or(o = 4 AND nar AND nz IN (7, 8, 16)) AS arom_c_hetero,
+  z = 6 AND NOT ar AND count(*) FILTER (WHERE ring AND nz = 6) >= 2 AS carbo_ring_c,
+  z = 6 AND ar AND count(*) FILTER (WHERE o = 4 AND nar AND nz = 6) >= 2 AS arom_c_ring,
+  z = 16 AND NOT ar AND degree = 2 AND bool_or(o = 1 AND NOT ring AND nz IN (0, 6)) AS thioether_s,
+  z = 16 AND NOT ar AND degree = 4 AND bool_or(nz IN (0, 6)) AND count(*) FILTER (WHERE o = 2 AND nz = 8) >= 2 AS sulfonyl,
+  z = 6 AND NOT ar AND degree = 3 AND NOT in_ring AND keto AND bool_or(o = 1 AND NOT ring AND nz IN (0, 6, 7, 8)) AS open_acyl,
+  z = 6 AND NOT ar AND degree IN (2, 3) AND bool_or(nz = 6 AND NOT nar) AS alkene_c,
+  z = 6 AND NOT ar AND NOT in_ring AND degree > 1 AND bool_and(o = 1) AS open_sp3_c,
+  z = 7 AND ar AND q = 0 AND count(*) FILTER (WHERE o = 4 AND nar AND nz IN (6, 7, 8, 16)) >= 2 AS arom_n
+  FROM f GROUP BY mol, i, z, q, ar, in_ring, degree, order_sum, wh, ih, br, keto, dbl)"""
+
+
+_ENVS = cleavage.ENVIRONMENTS
+_RULE_STRINGS = [r[2] for r in RULES]
+_ALL_STRINGS = [m[0] for m in MOLECULES] + [m[0] for m in MARKED] + _RULE_STRINGS
+_NAMES = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {e} THEN '{e}' END" for e in _ENVS) + "], lambda x: x IS NOT NULL), ' ')"
+_NO = len(_ALL_STRINGS)
+
+
+@query(f"WITH RECURSIVE {_graphs(_ALL_STRINGS)} SELECT z AS element, ar AS aromatic, in_ring, count(*) AS n, sum(ih) AS n_implied_h FROM part t JOIN env ON env.mol = t.p_partkey % {_NO} GROUP BY 1, 2, 3")
 def atom_environments(spark, sf_dir):
     """Atoms by element and ring over all parts' molecules."""
-    rows = molecules.parsed(keyed(spark, sf_dir, "part", "p_partkey", _STRINGS, "smiles string"))
-    return molecules.atoms(rows, "p_partkey").groupBy("element", "aromatic", "in_ring").agg(F.count("*").alias("n"), F.sum("implied_h").alias("n_implied_h"))
+    rows = keyed(spark, sf_dir, "part", "p_partkey", [(s,) for s in _ALL_STRINGS], "smiles string").groupBy("smiles").agg(F.count("*").alias("times"))
+    atoms = molecules.atoms(molecules.parsed(rows), "times")
+    return atoms.groupBy("element", "aromatic", "in_ring").agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.col("implied_h")).alias("n_implied_h"))
+
+
+@query(f"WITH RECURSIVE {_graphs(_ALL_STRINGS)} SELECT t.p_partkey, i AS atom, degree, CAST(order_sum AS INT) AS order_sum, in_ring, wh + greatest(ih, 0) AS total_h, {_NAMES} AS environments FROM part t JOIN env ON env.mol = t.p_partkey % {_NO}")
+def atom_facts(spark, sf_dir):
+    """Degree, bond orders, ring and environments of every atom, worked out again in SQL from bare atoms and bonds."""
+    rows = keyed(spark, sf_dir, "part", "p_partkey", [(s,) for s in _ALL_STRINGS], "smiles string")
+    told = molecules.per_string(rows, lambda d: molecules.parsed(d))
+    atoms = molecules.atoms(told, "p_partkey")
+    names = F.array_join(F.filter(F.array(*[F.when(molecules.in_environment(F.col("environments"), e), F.lit(e)) for e in _ENVS]), lambda x: x.isNotNull()), " ")
+    return atoms.select("p_partkey", "atom", F.col("degree").cast("long").alias("degree"), "order_sum", "in_ring", (F.col("written_h") + F.greatest("implied_h", F.lit(0))).alias("total_h"), names.alias("environments"))
+
+
+def _rules_sql() -> str:
+    table = values([(a, b, d) for a, b, d in cleavage.rules()], "r(left_env, right_env, d)")
+    long = "SELECT mol, i, unnest(string_split(names, ' ')) AS e FROM (SELECT mol, i, " + _NAMES + " AS names FROM env)"
+    either = "((x.e = r.left_env AND y.e = r.right_env) OR (x.e = r.right_env AND y.e = r.left_env))"
+    hits = f"SELECT DISTINCT b.mol, b.k, r.left_env, r.right_env FROM rings b JOIN held x ON x.mol = b.mol AND x.i = b.a JOIN held y ON y.mol = b.mol AND y.i = b.b JOIN {table} ON {either} WHERE NOT b.ring AND CASE WHEN r.d THEN b.o = 2 ELSE b.o IN (1, 4) END"
+    return f"WITH RECURSIVE {_graphs(_RULE_STRINGS)}, held AS ({long}), hits AS ({hits}) SELECT left_env, right_env, count(*) AS n FROM part t JOIN hits h ON h.mol = t.p_partkey % {len(RULES)} GROUP BY 1, 2"
+
+
+@query(_rules_sql())
+def rule_hits(spark, sf_dir):
+    """How often each of the 46 rules names a bond: a molecule for every rule."""
+    rows = keyed(spark, sf_dir, "part", "p_partkey", [(s,) for s in _RULE_STRINGS], "smiles string").groupBy("smiles").agg(F.count("*").alias("times"))
+    hits = molecules.parsed(rows).select("times", F.explode(molecules.rule_hits(F.col("molecule"))).alias("r"))
+    return hits.groupBy("r.left_env", "r.right_env").agg(F.sum("times").alias("n"))
+
+
+@query(_sql("customer", "c_custkey", MARKED, "smiles, safe", "c_custkey, safe"))
+def marked_encode(spark, sf_dir):
+    """Chirality, directions, isotopes, maps, charges, written hydrogens, ring numbers from 10 on."""
+    rows = keyed(spark, sf_dir, "customer", "c_custkey", [(m[0],) for m in MARKED], "smiles string")
+    return molecules.per_string(rows, lambda d: d.withColumn("safe", safe_encode("smiles"))).select("c_custkey", "safe")
+
+
+@query(_sql("supplier", "s_suppkey", WRITTEN, "smiles, written", "s_suppkey, written"))
+def marked_written(spark, sf_dir):
+    rows = keyed(spark, sf_dir, "supplier", "s_suppkey", [(m[0],) for m in WRITTEN], "smiles string")
+    return molecules.per_string(rows, lambda d: d.withColumn("written", write_smiles("smiles"))).select("s_suppkey", "written")
+
+
+_BRACKETS = [("[13CH3]C", 13, 0, 0, 0, 3), ("CC[CH2:1][OH:2]", 0, 0, 3, 0, 3), ("[NH4+]", 0, 1, 0, 0, 4), ("[O-]C", 0, -1, 0, 0, 0), ("[Fe++]", 0, 2, 0, 0, 0), ("[Fe+3]", 0, 3, 0, 0, 0), ("C[C@H](N)O", 0, 0, 0, 2, 1), ("C[C@@H](N)O", 0, 0, 0, 1, 1), ("[238U]", 238, 0, 0, 0, 0)]
+
+
+@query(_sql("nation", "n_nationkey", _BRACKETS, "smiles, isotope, charge, maps, chiral, written_h", "n_nationkey, smiles, isotope, charge, maps, chiral, written_h"))
+def bracket_fields(spark, sf_dir):
+    """Sums of the fields that bracket atoms bring; marks of chirality as seen from the order of bonds, hydrogen first."""
+    rows = keyed(spark, sf_dir, "nation", "n_nationkey", [(b[0],) for b in _BRACKETS], "smiles string")
+    atoms = molecules.atoms(molecules.parsed(rows), "n_nationkey", "smiles")
+    total = lambda c, to: F.sum(c).cast("int").alias(to)
+    return atoms.groupBy("n_nationkey", "smiles").agg(total("isotope", "isotope"), total("charge", "charge"), total("atom_map", "maps"), total("chiral", "chiral"), total("written_h", "written_h"))
+
+
+@query("SELECT n_nationkey AS mol_id, n_name AS smiles FROM nation")
+def iterator_source(spark, sf_dir):
+    """Names by a Python iterator, four at a time."""
+    names = table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name")
+    return sources.from_iterator(spark, (r["n_name"] for r in names.toLocalIterator()), buffer_size=4)
+
+
+@query("SELECT (SELECT count(*) FROM nation n2 WHERE n2.n_name < n.n_name) AS mol_id, n_name AS smiles FROM nation n")
+def list_source(spark, sf_dir):
+    return sources.from_list(spark, sorted(r["n_name"] for r in table(spark, sf_dir, "nation").select("n_name").collect()))  # 25 rows
+
+
+@query("SELECT p_name AS smiles FROM part WHERE p_name IS NOT NULL AND p_name <> '' AND p_partkey % 3 > 0")
+def csv_source(spark, sf_dir):
+    """First column of CSV files, empty values left out."""
+    path = shared_file(spark, "csv")
+    names = table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 3 > 0, F.col("p_name")).alias("name"), "p_type")
+    names.write.csv(path, header=True)
+    return sources.from_csv(spark, path)
+
+
+@query("SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 10")
+def first_ten(spark, sf_dir):
+    return sources.first_rows(table(spark, sf_dir, "part").select("p_partkey", "p_name"), 10, "p_partkey")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS at, array_to_string(list_concat(x, list_transform(range(0, n - len(x)), lambda i: {MODEL.pad_token_id})), ' ') AS ids FROM (SELECT n_nationkey, {_sql_ids('n_name')} AS x, max(len({_sql_ids('n_name')})) OVER () AS n FROM nation)")
+def numpy_sink(spark, sf_dir):
+    """Padded ids of the nations' names as an array on the driver."""
+    padded = MODEL.encode_table(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_name", pad=True)
+    array = sources.to_numpy(padded, order="n_nationkey")
+    return spark.createDataFrame([(i, " ".join(map(str, r))) for i, r in enumerate(array.tolist())], "at long, ids string")
+
+
+_FACTS = [("vocab_size", "269"), ("num_merges", "5"), ("dot", "261"), ("pad", "262"), ("bos", "263"), ("eos", "264"), ("unk", "265"), ("additional", "3"), ("empty_batch", "(0, 0) uint32"), ("default_vocab_size", "261"), ("default_merges", "0"), ("saved", "269"), ("readded", "3")]
+
+
+@query(f"SELECT * FROM {values(_FACTS, 't(fact, value)')}")
+def model_facts(spark, sf_dir):
+    """Ids and counts of a model, the empty batch, the empty model, a model saved and read again."""
+    import os
+    import tempfile
+
+    empty = MODEL.batch_encode([])
+    with tempfile.TemporaryDirectory() as folder:  # model files are the driver's own
+        MODEL.save(os.path.join(folder, "model.json"))
+        again = FragmentTokenizer.load(os.path.join(folder, "model.json"))
+    saved = again.vocab_size if again == MODEL else -1
+    again.add_tokens(["view"])
+    found = [MODEL.vocab_size, MODEL.num_merges, MODEL.dot_token_id, MODEL.pad_token_id, MODEL.bos_token_id, MODEL.eos_token_id, MODEL.unk_token_id, MODEL.num_additional_tokens, f"{empty.shape} {empty.dtype}", FragmentTokenizer().vocab_size, FragmentTokenizer().num_merges, saved, again.num_additional_tokens]
+    return spark.createDataFrame([(name, str(v)) for (name, _), v in zip(_FACTS, found)], "fact string, value string")
+
+
+@query(_sql("nation", "n_nationkey", [(s, True) for s, *_ in MOLECULES if _[0] is not None][:6] + [(s, False) for s in REJECTED[:3]], "smiles, ok", "DISTINCT smiles, NOT ok AS raised"))
+def strict_errors(spark, sf_dir):
+    """Which strings raise an error where encoding is strict?"""
+    strings = [s for s, *_ in MOLECULES if _[0] is not None][:6] + REJECTED[:3]
+    rows = []
+    for text in strings:
+        one = spark.createDataFrame([(text,)], "smiles string").select(safe_encode("smiles", strict=True).alias("safe"))
+        try:
+            one.collect()
+            rows.append((text, False))
+        except Exception as e:
+            if "Invalid SMILES" not in str(e):
+                raise
+            rows.append((text, True))
+    return spark.createDataFrame(rows, "smiles string, raised boolean")
 
 
 @query("SELECT CAST(('0x' || x)::INT AS INT) AS byte, count(*) AS n FROM (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS x FROM documents) GROUP BY 1")
@@ -162,8 +327,14 @@ def _training_sql(steps: int) -> str:
 @query(_training_sql(8))
 def bpe_train_8(spark, sf_dir):
     """Eight merges over part names, each name one fragment."""
-    counts = tk.fragment_counts(table(spark, sf_dir, "part").select(F.col("p_name").alias("fragment")))
-    return FragmentTokenizer(learn([tuple(r) for r in counts.collect()], 8)).merges_table(spark)
+    return BpeTrainer(269, "p_name").fit(table(spark, sf_dir, "part")).merges_table(spark)
+
+
+@query(_training_sql(4).replace("FROM part", "FROM (SELECT n_name AS p_name FROM nation)"))
+def bpe_train_iterator(spark, sf_dir):
+    """Four merges over the nations' names, by an iterator."""
+    names = table(spark, sf_dir, "nation").select("n_name").toLocalIterator()
+    return train_from_iterator(spark, (r["n_name"] for r in names), 265).merges_table(spark)
 
 
 @query(f"SELECT doc_id, len(ids) AS n_ids, md5(array_to_string(ids, ' ')) AS ids_md5 FROM (SELECT doc_id, {_sql_ids('text')} AS ids FROM documents)")
@@ -251,17 +422,39 @@ def roundtrip_accuracy(spark, sf_dir):
     return evaluate.accuracy(evaluate.round_trips(rows, MODEL))
 
 
-@query("SELECT p_name AS input, p_name AS decoded FROM part WHERE false")
+_READER = FragmentTokenizer(MODEL.merges, ["tap", "view", "purchase"])
+
+
+@query("SELECT event_id, 'click' AS input, 'tap' AS decoded FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 10")
+def first_failures(spark, sf_dir):
+    """The first ten of the events that a reader with another name for one token gets wrong."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("smiles"))
+    return evaluate.first_failures(evaluate.round_trips(rows, MODEL, reader=_READER), "event_id")
+
+
+@query("SELECT event_type AS input, CASE event_type WHEN 'click' THEN 'tap' END AS decoded, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1, 2")
 def roundtrip_failures(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("smiles"))
-    return evaluate.failures(evaluate.round_trips(rows, MODEL))
+    """All failures as written to CSV and read again, counted."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("smiles"))
+    path = shared_file(spark, "failures")
+    sources.write_failures(evaluate.failures(evaluate.round_trips(rows, MODEL, reader=_READER)), path)
+    return spark.read.csv(path, header=True).groupBy("input", "decoded").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(1.0 AS DOUBLE) AS accuracy")
+def command_line(spark, sf_dir):
+    """python -m fragmill on a CSV file of the fixture's strings."""
+    from fragmill.__main__ import main
+
+    path = shared_file(spark, "strings")
+    spark.createDataFrame([(m[0],) for m in MOLECULES if m[0]], "smiles string").coalesce(1).write.csv(path, header=True)
+    return spark.createDataFrame([(main([path, "--train-n", "10", "--vocab-size", "270"]),)], "accuracy double")
 
 
 @query(_sql("customer", "c_custkey", _GOLD, "smiles, safe", "c_custkey, safe"))
 def stream_encode(spark, sf_dir):
     """Customers as a bounded stream, encoded batch by batch and written out."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="fragmill-stream-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = shared_file(spark, "stream")
     path = f"{sf_dir}/customer.parquet"
     stored = spark.read.parquet(path)
     source = spark.readStream.schema(stored.schema)

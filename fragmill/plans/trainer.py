@@ -9,7 +9,6 @@ words are written out every few steps to bound the lineage.
 from __future__ import annotations
 
 import heapq
-import tempfile
 from collections import defaultdict
 from collections.abc import Iterable
 
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from fragmill.functions.columns import safe_fragments
 from fragmill.operators import tokens as tk
 from fragmill.plans.model import SPECIAL, FragmentTokenizer
+from fragmill.sources.shared import checkpointed
 
 
 def merges_wanted(vocab_size: int) -> int:
@@ -33,6 +33,13 @@ def exploded_fragments(df: DataFrame, smiles: str = "smiles", *keys: str) -> Dat
     return df.select(*keys, F.posexplode(safe_fragments(smiles)).alias("pos", "fragment"))
 
 
+def weighted_fragments(df: DataFrame, smiles: str = "smiles") -> DataFrame:
+    """fragment, n: how often each fragment occurs.  Strings are counted first, so the kernel sees each once."""
+    strings = df.groupBy(smiles).agg(F.count("*").alias("times"))
+    parts = strings.select(F.explode(safe_fragments(smiles)).alias("fragment"), "times")
+    return parts.groupBy("fragment").agg(F.sum("times").alias("n"))
+
+
 def learn(counts: Iterable[tuple[str, int]], n_merges: int) -> list[tuple[int, int]]:
     """Merges of weighted texts.  Heap entries may be stale; those whose count has changed are dropped."""
     words = [text.encode().decode("latin-1") for text, _ in counts]
@@ -75,16 +82,9 @@ def learn(counts: Iterable[tuple[str, int]], n_merges: int) -> list[tuple[int, i
     return merges
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="fragmill-checkpoint-"))
-    return df.checkpoint()
-
-
 def learn_distributed(counts: DataFrame, n_merges: int, every: int = 10) -> list[tuple[int, int]]:
     """The same merges by DataFrame steps; counts(fragment, n)."""
-    words = _checkpoint(counts.select(tk.byte_word(F.col("fragment")).alias("word"), F.col("n").alias("n")))
+    words = checkpointed(counts.select(tk.byte_word(F.col("fragment")).alias("word"), F.col("n").alias("n")))
     merges: list[tuple[int, int]] = []
     while len(merges) < n_merges:
         best = tk.best_pair(tk.pair_counts(words)).first()  # one row
@@ -94,7 +94,7 @@ def learn_distributed(counts: DataFrame, n_merges: int, every: int = 10) -> list
         words = words.withColumn("word", tk.merged(F.col("word"), left, right, 256 + len(merges)))
         merges.append((left, right))
         if len(merges) % every == 0:
-            words = _checkpoint(words)
+            words = checkpointed(words)
     return merges
 
 
@@ -105,7 +105,7 @@ class BpeTrainer:
         self.n_merges, self.smiles, self.local_limit = merges_wanted(vocab_size), smiles, local_limit
 
     def fit(self, df: DataFrame) -> FragmentTokenizer:
-        counts = tk.fragment_counts(exploded_fragments(df.where(F.col(self.smiles).isNotNull()), self.smiles))
+        counts = weighted_fragments(df.where(F.col(self.smiles).isNotNull()), self.smiles)
         rows = counts.limit(self.local_limit + 1).collect()
         if len(rows) <= self.local_limit:
             return FragmentTokenizer(learn([(r["fragment"], r["n"]) for r in rows], self.n_merges))

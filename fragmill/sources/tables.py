@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fragmill.sources.shared import shared_file
+
 
 def from_list(spark: SparkSession, smiles: list[str | None]) -> DataFrame:
     """mol_id, smiles in the order of the list."""
@@ -15,17 +19,25 @@ def from_list(spark: SparkSession, smiles: list[str | None]) -> DataFrame:
 
 
 def from_iterator(spark: SparkSession, items: Iterable[str], buffer_size: int = 8192) -> DataFrame:
-    """mol_id, smiles of a bounded Python iterator; an item that is no string is an error."""
+    """mol_id, smiles of a bounded Python iterator; an item that is no string is an error.
+
+    The driver holds ``buffer_size`` items: each buffer is written to the shared folder before the next is read.
+    """
     if buffer_size < 1:
         raise ValueError("buffer_size is at least 1")
-
-    def checked():
-        for i, item in enumerate(items):
+    schema = "mol_id long, smiles string"
+    path = shared_file(spark, "items")
+    taken = iter(items)
+    spark.createDataFrame([], schema).write.parquet(path)
+    at = 0
+    while buffer := list(itertools.islice(taken, buffer_size)):
+        for i, item in enumerate(buffer, at):
             if not isinstance(item, str):
                 raise TypeError(f"item {i} is no string")
-            yield i, item
-
-    return spark.createDataFrame(list(checked()), "mol_id long, smiles string")
+        table = pa.table({"mol_id": pa.array(range(at, at + len(buffer)), pa.int64()), "smiles": pa.array(buffer, pa.string())})
+        spark.createDataFrame(table).write.mode("append").parquet(path)
+        at += len(buffer)
+    return spark.read.schema(schema).parquet(path)
 
 
 def from_csv(spark: SparkSession, path: str) -> DataFrame:
