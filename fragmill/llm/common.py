@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import time
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +46,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/fragmill/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/fragmill/{name}-{uuid.uuid4().hex}"
+    for seen in _scopes:
+        seen.append(path)
+    return path
+
+
+#: Lists that take the paths of shared tables while their scope is open.
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def tables_made():
+    """A list of the shared paths that are made inside the block."""
+    seen: list[str] = []
+    _scopes.append(seen)
+    try:
+        yield seen
+    finally:
+        _scopes.remove(seen)
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
@@ -55,26 +76,28 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def folders_of(df: DataFrame) -> set[str]:
+    """Last parts of the folders that ``df`` reads files from."""
+    return {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+
+
 def drop_shared(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables made by shared_table once nothing reads them any more."""
-    jvm = spark.sparkContext._jvm
-    for table in tables:
-        for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop_paths(spark, [name for table in tables for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}])
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that nothing reads any more.
-
-    Its cleaner goes by the driver's garbage; Python hands its own over in the background, and
-    the cleaner works there as well, hence two rounds and the pauses.
-    """
+    """Let Spark delete shuffle files that nothing reads any more: its cleaner goes by the driver's garbage."""
     for _ in range(2):
         gc.collect()
-        time.sleep(0.5)
+        time.sleep(0.1)  # Python hands its garbage over to the JVM in the background
         spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -116,8 +139,20 @@ def pieces(batches, rows: int = 512):
             yield batch.slice(at, rows)
 
 
+def trimmed(run):
+    """``run`` for mapInArrow; when it ends, the worker gives the memory it has freed back to the machine."""
+
+    def and_release(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without malloc_trim
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return and_release
+
+
 def hash_words(words: list[bytes], memo: WordHashes) -> np.ndarray:
-    return np.fromiter((memo[w] for w in words), np.uint64, len(words))
+    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

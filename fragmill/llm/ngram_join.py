@@ -27,8 +27,8 @@ Shingles are compared by 64-bit hashes of whole words, classes by 64-bit fingerp
 Defined results: null, empty or word-less texts have no shingles, and are linked with nothing,
 not even each other; fewer words than a shingle: the whole sequence is one shingle; repeated
 rows and ids are kept, ids that repeat form one component by their texts; a null id is never
-the smallest, and texts that only null ids have are linked with equal sets alone; other columns
-are not read; an empty table gives an empty result.
+the smallest, and a component of null ids alone has a null id; texts that only null ids have
+link like any other; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,13 +41,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragmill.llm.common import WordHashes, drop_shared, fresh, hash_words, mix, pieces, release_shuffles, sequence_hashes, shared_table
+from fragmill.llm.common import WordHashes, drop_shared, fresh, hash_words, mix, pieces, release_shuffles, sequence_hashes, shared_table, trimmed
 from fragmill.llm.components import components
 
 #: Bins of the histograms that bound a difference from below, at least.
 BINS = 64
 #: Classes of a bucket that one block of the full comparison holds, and partners of one salt.
 BLOCK, SALT = 1024, 256
+#: Pairs of the full comparison that a batch holds.
+PAIRS = 50_000
 #: Signatures of a class that tell whether an earlier bucket has compared a pair.
 FIRSTS = 24
 
@@ -142,7 +144,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _signed(words: int, percent: int):
-    """doc_id, text -> a row for the document, and the signatures of each class of the batch."""
+    """doc_id, text, text_key -> a row for the document, and the signatures of each class of the batch."""
 
     def run(batches):
         rows = 0
@@ -165,8 +167,8 @@ def _signed(words: int, percent: int):
             fp = pa.concat_arrays([pa.array(fps, pa.int64()), pa.array(np.concatenate(owners) if owners else [], pa.int64())])
             rest = len(sig) - n
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sig), fp, pa.concat_arrays([ids, pa.nulls(rest, pa.int64())]), pa.array(np.concatenate([sizes, np.full(rest, -1)]).astype(np.int32))],
-                names=["sig", "fp", "doc_id", "n"],
+                [pa.array(sig), fp, pa.concat_arrays([ids, pa.nulls(rest, pa.int64())]), pa.concat_arrays([batch.column(2), pa.nulls(rest, pa.int64())]), pa.array(np.concatenate([sizes, np.full(rest, -1)]).astype(np.int32))],
+                names=["sig", "fp", "doc_id", "text_key", "n"],
             )
 
     return run
@@ -178,10 +180,10 @@ def _buckets(batches):
     Memory holds a batch; a bucket that goes on in the next one is carried as its signature,
     leader and last class.
     """
-    names = ["sig", "leader", "fp", "doc_id", "n"]
+    names = ["sig", "leader", "fp", "doc_id", "text_key", "n"]
     last = None  # (sig, leader, last fp, leader written)
     for batch in batches:
-        n = batch.column(3).to_numpy()
+        n = batch.column(4).to_numpy()
         docs = n >= 0
         out = [[np.zeros(0, np.int64)] * 3]
         d = batch.filter(pa.array(docs))
@@ -214,7 +216,8 @@ def _buckets(batches):
                 pa.concat_arrays([pa.nulls(len(d), pa.int64()), pa.array(made[1], pa.int64())]),
                 pa.concat_arrays([d.column(1), pa.array(made[2], pa.int64())]),
                 pa.concat_arrays([d.column(2), pa.nulls(m, pa.int64())]),
-                pa.concat_arrays([d.column(3), pa.nulls(m, pa.int32())]),
+                pa.concat_arrays([d.column(3), pa.nulls(m, pa.int64())]),
+                pa.concat_arrays([d.column(4), pa.nulls(m, pa.int32())]),
             ],
             names=names,
         )
@@ -248,7 +251,7 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     leaders = salts.select(F.col("a").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("fp"))
     rows = members.unionByName(leaders).join(texts.select("fp", "text"), "fp").select("leader", "salt", "kind", "fp", "text")
     dealt = rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "kind")
-    return dealt.mapInArrow(_verified(words, percent), "a long, b long")
+    return dealt.mapInArrow(trimmed(_verified(words, percent)), "a long, b long")
 
 
 def _close(percent: int):
@@ -271,7 +274,7 @@ def bounded(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes and histograms do not rule a link out."""
     sides = [texts.select(F.col("fp").alias(c), F.col("size").alias(f"size_{c}"), F.col("bins").alias(f"bins_{c}")) for c in "ab"]
     rows = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "size_a", "size_b", "bins_a", "bins_b")
-    return rows.mapInArrow(_close(percent), "a long, b long")
+    return rows.mapInArrow(trimmed(_close(percent)), "a long, b long")
 
 
 def _across(percent: int):
@@ -282,6 +285,7 @@ def _across(percent: int):
     """
 
     def pairs(sig, rows):
+        """Arrays (a, b) of the pairs of a block, some rows of it at a time."""
         side, fp, root, size = (np.array([r[k] for r in rows]) for k in range(4))
         few = min(len(r[4]) for r in rows)
         bins = np.array([folded(r[4], few) for r in rows])
@@ -293,55 +297,75 @@ def _across(percent: int):
             if len(js):
                 far = np.abs(bins[js] - bins[i]).sum(axis=1)
                 js = js[far <= (100 - percent) * (size[js] + size[i]) // (100 + percent)]
-                yield from ((min(fp[i], fp[j]), max(fp[i], fp[j])) for j in js if smaller[i].isdisjoint(smaller[j]))
-
-    def run(batches):
+                js = np.array([j for j in js if smaller[i].isdisjoint(smaller[j])], np.int64)
+                if len(js):
+                    yield np.minimum(fp[js], fp[i]), np.maximum(fp[js], fp[i])
+
+    def in_batches(blocks):
+        """A batch whenever PAIRS pairs are there, so that memory holds no more, however many a block has."""
+        found, n = [], 0
+        for sig, rows in blocks:
+            for a, b in pairs(sig, rows):
+                found.append((a, b))
+                n += len(a)
+                if n >= PAIRS:
+                    yield _pair_batch(found)
+                    found, n = [], 0
+        yield _pair_batch(found)
+
+    def blocks(batches):
         now, rows = None, []
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(9)]
-            out = []
-            for r in zip(*cols):
-                if r[:3] != now:
-                    out += set(pairs(now[0], rows)) if len(rows) > 1 else []
-                    now, rows = r[:3], []
-                rows.append(r[3:])
-            yield _pair_batch(out)
-        yield _pair_batch(list(set(pairs(now[0], rows))) if len(rows) > 1 else [])
+            for piece in pieces([batch]):
+                for r in zip(*(piece.column(i).to_pylist() for i in range(9))):
+                    if r[:3] != now:
+                        if len(rows) > 1:
+                            yield now[0], rows
+                        now, rows = r[:3], []
+                    rows.append(r[3:])
+        if len(rows) > 1:
+            yield now[0], rows
 
-    return run
+    return lambda batches: in_batches(blocks(batches))
 
 
-def _pair_batch(out):
-    return pa.RecordBatch.from_arrays([pa.array([int(x[0]) for x in out], pa.int64()), pa.array([int(x[1]) for x in out], pa.int64())], names=["a", "b"])
+def _pair_batch(found):
+    a, b = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in found)]) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id that links reach) of each row of ``docs``."""
+def groups(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, n_shingles, fp of each row; fp, root, component_id of each class)."""
     spark = docs.sparkSession
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = text.mapInArrow(_signed(words, percent), "sig long, fp long, doc_id long, n int")
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("text_key"))
+    signed = text.mapInArrow(trimmed(_signed(words, percent)), "sig long, fp long, doc_id long, text_key long, n int")
     dealt = signed.repartition("sig").sortWithinPartitions("sig", "fp")
-    table = shared_table(dealt.mapInArrow(_buckets, "sig long, leader long, fp long, doc_id long, n int"), "jaccard-buckets")
+    table = shared_table(dealt.mapInArrow(_buckets, "sig long, leader long, fp long, doc_id long, text_key long, n int"), "jaccard-buckets")
     del signed, dealt
     release_shuffles(spark)
-    rows = table.where("sig IS NULL").select("doc_id", "fp", F.col("n").cast("long").alias("n_shingles"))
+    rows = table.where("sig IS NULL").select("doc_id", "text_key", "fp", F.col("n").cast("long").alias("n_shingles"))
     buckets = table.where("sig IS NOT NULL").select("sig", "leader", "fp")
 
     stars = shared_table(buckets.where("leader <> fp").select(F.col("leader").alias("a"), F.col("fp").alias("b")).distinct(), "jaccard-stars")
-    classes = rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    wanted = stars.select(F.col("a").alias("fp")).union(stars.select(F.col("b").alias("fp"))).distinct().join(classes, "fp")
-    # A class is looked up by the id of its smallest document; ids that repeat give several texts.
-    texts = text.join(wanted, "doc_id").select("fp", "text")
-    texts = shared_table(texts.mapInArrow(_own_text(words), "fp long, text string, size int, bins binary"), "jaccard-texts")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")  # null ids last
+    classes = rows.where("fp IS NOT NULL").groupBy("fp").agg(first)
+    wanted = stars.select(F.col("a").alias("fp")).union(stars.select(F.col("b").alias("fp"))).distinct().join(classes, "fp").select("fp", "first.*")
+    # A class is looked up by the id and text of its first document; a null id's text may be there many times.
+    texts = text.join(wanted.where("NOT none").drop("none"), ["doc_id", "text_key"]).select("fp", "text")
+    nameless = text.where("doc_id IS NULL").join(wanted.where("none").select("fp", "text_key"), "text_key").groupBy("fp").agg(F.min("text").alias("text"))
+    texts = shared_table(texts.unionByName(nameless).mapInArrow(trimmed(_own_text(words)), "fp long, text string, size int, bins binary"), "jaccard-texts")
     release_shuffles(spark)
     likely = shared_table(bounded(stars, texts, percent), "jaccard-likely")
     links = shared_table(verify(likely, texts, words, percent), "jaccard-links")
+    drop_shared(spark, likely)
     release_shuffles(spark)
 
     roots = shared_table(components(links), "jaccard-roots")
     placed = buckets.join(roots, buckets["fp"] == roots["node"], "left").select("sig", "fp", F.coalesce("root", "fp").alias("root"))
     mixed = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low <> high")
     mixed = shared_table(placed.join(mixed.select("sig", "m"), "sig"), "jaccard-mixed")
+    release_shuffles(spark)
     if not mixed.isEmpty():
         blocks = F.ceil(F.col("m") / BLOCK).cast("int")
         firsts = mixed.groupBy("fp").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, FIRSTS).alias("firsts"))  # as many as a set has
@@ -350,19 +374,28 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
         side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
         cells = cells.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "fp", "root", "size", "bins", "firsts")
         cells = cells.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-        more = cells.mapInArrow(_across(percent), "a long, b long").distinct()
+        more = cells.mapInArrow(trimmed(_across(percent)), "a long, b long").distinct()
         tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = shared_table(more.join(tried, ["a", "b"], "left_anti"), "jaccard-across")
+        del cells
+        release_shuffles(spark)
         found = shared_table(verify(more, texts, words, percent), "jaccard-links")
         if not found.isEmpty():
             links = shared_table(links.unionByName(found), "jaccard-links")
             roots = shared_table(components(links), "jaccard-roots")
-    named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = shared_table(named.join(smallest, "root").select("fp", "component_id"), "jaccard-components")
-    out = rows.join(named, "fp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    drop_shared(spark, texts, mixed, stars)
-    return out
+        drop_shared(spark, more, found)
+    drop_shared(spark, texts, mixed, stars, links)
+    named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("first").alias("kept"))
+    named = shared_table(named.join(smallest, "root").select("fp", "root", F.col("kept.doc_id").alias("component_id"), F.col("kept.text_key").alias("kept_key")), "jaccard-components")
+    drop_shared(spark, roots)
+    return rows, named
+
+
+def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id that links reach) of each row of ``docs``."""
+    rows, named = groups(docs, words, percent, id_col, text_col)
+    return rows.join(named, "fp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _own_text(words: int):
@@ -386,8 +419,15 @@ def _own_text(words: int):
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest id."""
-    groups = join(docs, words, percent, id_col, text_col)
-    (keep,) = fresh(docs, "keep")
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(keep)).distinct()
-    return docs.join(stay, docs[id_col].cast("long").eqNullSafe(F.col(keep)), "left_semi")
+    """``docs`` with one document of each group: that with the smallest id, null ids counting as the largest.
+
+    Texts without words are in no group and stay; rows that repeat the kept id and text are the
+    same document and stay with it; of rows that repeat an id with other texts the others go.  All
+    columns stay, whatever their names; an empty table gives an empty result.
+    """
+    rows, named = groups(docs, words, percent, id_col, text_col)
+    keep, key = fresh(docs, "keep", "keep_key")
+    wordless = rows.where("fp IS NULL").select(F.col("doc_id").alias(keep), F.col("text_key").alias(key)).distinct()
+    stay = named.select(F.col("component_id").alias(keep), F.col("kept_key").alias(key)).distinct().unionByName(wordless)
+    same = docs[id_col].cast("long").eqNullSafe(F.col(keep)) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col(key))
+    return docs.join(stay, same, "left_semi")
