@@ -29,6 +29,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from fragmill.llm.common import pieces, trimmed
+
 #: Code points from which a text is cut at safe boundaries.
 LONG = 100_000
 #: Code points of a segment, at least; it ends at the next safe boundary.
@@ -82,7 +84,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
 
     def run(batches):
         enc = codec(rank_file, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(batch.schema.get_field_index(text_col))
             lengths, parts = [0], []
             for t in texts:
@@ -93,7 +95,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
             ids = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(np.concatenate(parts or [np.zeros(0, np.int32)])))
             yield _with(batch, to, ids)
 
-    return docs.mapInArrow(run, _schema(docs, to, T.ArrayType(T.IntegerType())))
+    return docs.mapInArrow(trimmed(run), _schema(docs, to, T.ArrayType(T.IntegerType())))
 
 
 def decode(tokens: DataFrame, rank_file: str, pattern: str, ids_col: str = "token_ids", to: str = "decoded") -> DataFrame:
@@ -101,8 +103,8 @@ def decode(tokens: DataFrame, rank_file: str, pattern: str, ids_col: str = "toke
 
     def run(batches):
         enc = codec(rank_file, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             rows = batch.column(batch.schema.get_field_index(ids_col))
             yield _with(batch, to, pa.array([enc.decode_bytes(r.values.to_pylist()) if r.is_valid and len(r.values) else b"" for r in rows], pa.binary()))
 
-    return tokens.mapInArrow(run, _schema(tokens, to, T.BinaryType()))
+    return tokens.mapInArrow(trimmed(run), _schema(tokens, to, T.BinaryType()))
