@@ -432,6 +432,13 @@ def first_failures(spark, sf_dir):
     return evaluate.first_failures(evaluate.round_trips(rows, MODEL, reader=_READER), "event_id")
 
 
+@query("SELECT count(*) AS n, sum(CASE WHEN event_type = 'click' THEN 0 ELSE 1 END)::BIGINT AS n_ok, avg(CASE WHEN event_type = 'click' THEN 0.0 ELSE 1.0 END) AS accuracy FROM events")
+def reader_accuracy(spark, sf_dir):
+    """The share of events that this reader gets right."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("smiles"))
+    return evaluate.accuracy(evaluate.round_trips(rows, MODEL, reader=_READER))
+
+
 @query("SELECT event_type AS input, CASE event_type WHEN 'click' THEN 'tap' END AS decoded, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1, 2")
 def roundtrip_failures(spark, sf_dir):
     """All failures as written to CSV and read again, counted."""
