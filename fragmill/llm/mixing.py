@@ -1,14 +1,16 @@
 """Mix sources to target weights, block by block.
 
 Words of a source are packed into blocks of a fixed length, in a pseudorandom order of its
-documents.  A target of words becomes a number of block slots for each source.  A keyed
-permutation of all slots deals them to output shards, which draws each shard's source counts
-from the multinomial law given the totals; inside a source another keyed permutation maps the
-q-th slot to a block, so a block repeats only after the whole source was used.  Slots and
-packed blocks meet in an equi-join on (source, block).
-
-No step orders or counts a whole source in one task: running sums go by (source, part) first
-and by part totals second, slots come from chunks, and blocks of a hot source are many keys.
+documents.  A target of words becomes a number of block slots for each source.  Each output
+shard then draws its source counts from the multinomial law given these totals, so that every source
+comes out at its target: a keyed permutation deals the slots of all sources to shards, and
+only the counts by shard and source are kept.  The slots follow from the counts: shard by shard a source
+takes its next indexes, another keyed permutation maps the q-th index of a source to a block, so a
+block repeats only after the whole source was used, and a third one shuffles the slots of a shard.
+Slots and packed blocks meet in an equi-join on (source, block).
+
+No step orders or counts a whole source, all sources or all shards in one task: running sums go by parts
+first and by part totals second, slots come from chunks, and blocks of a hot source are many keys.
 DataFrame and SQL functions only.
 
 Defined results: null text has size 0 and takes nothing; null source is a source of its own,
@@ -37,27 +39,40 @@ def permuted(x: Column, n: Column, key: Column) -> Column:
     return F.aggregate(F.array(*[F.lit(r) for r in range(ROUNDS)]), x.cast("long"), turn)
 
 
+def running(df: DataFrame, value: Column, to: str, part: str, order: list, *by: str) -> DataFrame:
+    """Add ``to``: the sum of ``value`` over the rows before, by ``by``, in order of ``part``, then ``order``.
+
+    One task sees the rows of one part; above that there is a row for each part.
+    """
+    totals = df.groupBy(*by, part).agg(F.sum(value).alias("_total"))
+    parts = W.partitionBy(*by).orderBy(part) if by else W.orderBy(part)
+    base = totals.select(*[F.col(c).alias(f"_{c}") for c in (*by, part)], (F.sum("_total").over(parts.rowsBetween(W.unboundedPreceding, 0)) - F.col("_total")).alias("_base"))
+    inner = W.partitionBy(*by, part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    rows = df.withColumn("_before", F.sum(value).over(inner) - value)
+    same = F.lit(True)
+    for c in (*by, part):
+        same &= F.col(c) == F.col(f"_{c}")
+    return rows.join(base, same).withColumn(to, F.col("_before") + F.col("_base")).select(*df.columns, to)
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """source, source_size, target: words by weight, none above ``most`` times its size.
+    """source, part, source_no, source_size, target: words by weight, none above ``most`` times its size.
 
-    Sources fill like vessels: with the capped ones full, the others stand at one level of
-    words per weight.  They are sorted by the level at which each fills up.
+    Sources fill like vessels: what those that are full can't take is shared by the others' weights,
+    again and again until none is above.  Parts are ranges of sources, in order of their numbers.
     """
+    order = F.col("source").asc_nulls_last()
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # One row for each source from here on, not for each document.
-    n = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    per = per.withColumn("n", n).withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("n", F.lit(len(weights))) + 1).cast("int")))
-    per = per.withColumn("cap", most * F.col("source_size")).withColumn("full_at", F.col("cap") / F.col("weight"))
-    before = W.orderBy("full_at", "n").rowsBetween(W.unboundedPreceding, -1)
-    every = W.orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    left_words = share * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    left_weight = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    per = per.withColumn("level", left_words / left_weight)
-    # The first source that doesn't fill up sets the level.
-    level = F.min(F.when(F.col("full_at") >= F.col("level"), F.struct("full_at", "n", "level"))).over(every)["level"]
-    per = per.withColumn("water", level)
-    target = F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("water") * F.col("weight")))
-    return per.select("source", F.col("n").alias("source_no"), "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
+    per = shared_table(per.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "mix-sources")
+    per = running(per, F.lit(1), "source_no", "part", [order])
+    per = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("source_no", F.lit(len(weights))) + 1).cast("int")))
+    per = shared_table(per.withColumn("cap", most * F.col("source_size")), "mix-weights")
+    level, before = 0.0, None
+    while level != before:  # one row a round; a source that is full stays so
+        above = F.col("cap") < level * F.col("weight")
+        sums = per.agg(F.sum("source_size").alias("size"), F.sum(F.when(above, F.col("cap")).otherwise(0.0)).alias("full"), F.sum(F.when(above, 0.0).otherwise(F.col("weight"))).alias("open")).first()
+        before, level = level, (share * sums["size"] - sums["full"]) / sums["open"] if sums["open"] else level
+    return per.select("source", "part", "source_no", "source_size", F.least(F.col("cap"), level * F.col("weight")).alias("target"))
 
 
 def pack(sizes: DataFrame, block_words: int, seed: int, part_rows: int = 20_000) -> DataFrame:
@@ -76,58 +91,73 @@ def pack(sizes: DataFrame, block_words: int, seed: int, part_rows: int = 20_000)
     return cells.select("source_no", "block", "row_id", (lo - F.col("start")).alias("offset"), (hi - lo).alias("words"))
 
 
-def slots(goal: DataFrame, block_words: int, shard_slots: int, seed: int, chunk: int = 10_000) -> DataFrame:
-    """The mix: shard, slot, source_no, block, epoch."""
+def draw(goal: DataFrame, block_words: int, shard_slots: int, seed: int, chunk: int = 10_000) -> tuple[DataFrame, int]:
+    """(shard, source_no, blocks, n, q: the source counts of each shard and the first index they take; slots of all shards)."""
     size, target = F.col("source_size"), F.col("target")
     plan = goal.where("source_size > 0").withColumn("blocks", F.ceil(size / block_words))
     whole = F.floor(target / size)
     plan = plan.withColumn("n_slots", whole * F.col("blocks") + F.least(F.round((target - whole * size) / block_words).cast("long"), F.col("blocks") * F.when(whole >= 2, 0).otherwise(1)))
-    by_no = W.orderBy("source_no").rowsBetween(W.unboundedPreceding, 0)
-    plan = plan.withColumn("first", F.sum("n_slots").over(by_no) - F.col("n_slots")).withColumn("all", F.sum("n_slots").over(W.orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    plan = running(plan, F.col("n_slots"), "first", "part", ["source_no"])
+    every = int(plan.agg(F.sum("n_slots")).first()[0] or 0)
     chunks = plan.where("n_slots > 0").withColumn("c", F.explode(F.expr(f"sequence(0L, (n_slots - 1) div {chunk})")))
     # As many tasks as asked for: the plan takes so small a table for one task's work.
     chunks = chunks.repartition(int(goal.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_no", "c")
-    each = chunks.withColumn("q", F.explode(F.expr(f"sequence(c * {chunk}, least((c + 1) * {chunk}, n_slots) - 1)")))
-    at = permuted(F.col("first") + F.col("q"), F.col("all"), F.lit(seed))
+    each = chunks.withColumn("k", F.explode(F.expr(f"sequence(c * {chunk}, least((c + 1) * {chunk}, n_slots) - 1)")))
+    at = permuted(F.col("first") + F.col("k"), F.lit(max(every, 1)), F.lit(seed))
+    counts = each.withColumn("p", at).select("source_no", "blocks", F.expr(f"p div {shard_slots}").alias("shard"))
+    counts = shared_table(counts.groupBy("shard", "source_no", "blocks").agg(F.count("*").alias("n")).withColumn("span", F.expr("shard div 1024")), "mix-draws")
+    return running(counts, F.col("n"), "q", "span", ["shard"], "source_no").drop("span"), every
+
+
+def slots(drawn: DataFrame, every: int, shard_slots: int, seed: int) -> DataFrame:
+    """The mix: shard, slot, source_no, block, epoch, from the counts that the shards have drawn."""
+    by_source = W.partitionBy("shard").orderBy("source_no").rowsBetween(W.unboundedPreceding, 0)  # no more rows than a shard has slots
+    placed = drawn.withColumn("offset", F.sum("n").over(by_source) - F.col("n"))
+    placed = placed.repartition(int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "source_no")
+    each = placed.select("shard", "source_no", "blocks", "offset", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).withColumn("q", F.col("q") + F.col("i"))
+    here = F.least(F.lit(shard_slots), F.lit(every) - F.col("shard") * shard_slots)
+    slot = permuted(F.col("offset") + F.col("i"), here, F.xxhash64(F.lit(seed + 2), "shard"))
     block = permuted(F.expr("q % blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "source_no"))
-    each = each.select(at.alias("at"), "source_no", block.alias("block"), F.expr("q div blocks").alias("epoch"))
-    return each.select(F.expr(f"at div {shard_slots}").alias("shard"), F.expr(f"at % {shard_slots}").alias("slot"), "source_no", "block", "epoch")
+    return each.select("shard", slot.alias("slot"), "source_no", block.alias("block"), F.expr("q div blocks").alias("epoch"))
 
 
-def plan(sizes: DataFrame, block_words: int, shard_slots: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sizes with targets, slots, packed) for a written table of row_id, doc_id, source, size."""
+def plan(sizes: DataFrame, block_words: int, shard_slots: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(sizes with targets, drawn counts, slots, packed) for a written table of row_id, doc_id, source, size."""
     goal = shared_table(targets(sizes), "mix-targets")
     sized = sizes.join(goal, sizes["source"].eqNullSafe(goal["source"])).select(sizes["*"], "source_no", "source_size", "target")
     sized = shared_table(sized, "mix-sized")
-    return sized, slots(goal, block_words, shard_slots, seed), pack(sized, block_words, seed)
+    drawn, every = draw(goal, block_words, shard_slots, seed)
+    return sized, drawn, slots(drawn, every, shard_slots, seed), pack(sized, block_words, seed)
 
 
 # Sizes of tables made from the few rows of ``targets`` are guessed far too low, so the joins
 # below ask for a sort-merge join: a broadcast of slots or blocks would grow with the corpus.
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 64, shard_slots: int = 8192, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents with targets and taken words, slots of the mix, packed blocks)."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 64, shard_slots: int = 8192, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents with targets and taken words, slots of the mix, packed blocks, source counts that the shards drew)."""
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"))
     # Writing fixes the ids of rows; they only join, and order nothing but rows alike in id and size.
     sizes = shared_table(sizes.withColumn("row_id", F.monotonically_increasing_id()), "mix-sizes")
-    sized, drawn, packed = plan(sizes, block_words, shard_slots, seed)
-    times = drawn.groupBy("source_no", "block").agg(F.count("*").alias("times"))
+    sized, drawn, mixed, packed = plan(sizes, block_words, shard_slots, seed)
+    times = mixed.groupBy("source_no", "block").agg(F.count("*").alias("times"))
     taken = packed.hint("merge").join(times, ["source_no", "block"]).groupBy("row_id").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     out = sized.hint("merge").join(taken, "row_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "source_no", "row_id")
-    return out, drawn, packed
+    return out, mixed, packed, drawn
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 64, shard_slots: int = 8192, seed: int = 17) -> DataFrame:
     """The mix as documents: a row for each document and epoch with the words taken there.
 
     A document taken whole keeps its text as it is; of one taken in part, the taken words
-    follow each other, joined by one space.  All columns stay; ``n_chars``, where there is one, is renewed.
+    follow each other, joined by one space.  All columns stay; ``n_chars``, where there is one, is
+    renewed.  Null, empty and word-less texts are not in the mix; null source is a source of its own,
+    the last; rows that repeat are documents of their own; an empty table gives an empty result.
     """
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"))
     stored = shared_table(rows.withColumn("row_id", F.monotonically_increasing_id()), "mix-rows")
-    _, drawn, packed = plan(stored.select("row_id", "doc_id", "source", "size"), block_words, shard_slots, seed)
-    picks = packed.hint("merge").join(drawn, ["source_no", "block"]).groupBy("row_id", "epoch").agg(F.sort_array(F.collect_list(F.struct("offset", "words"))).alias("cells"), F.sum("words").alias("taken"))
+    _, _, mixed, packed = plan(stored.select("row_id", "doc_id", "source", "size"), block_words, shard_slots, seed)
+    picks = packed.hint("merge").join(mixed, ["source_no", "block"]).groupBy("row_id", "epoch").agg(F.sort_array(F.collect_list(F.struct("offset", "words"))).alias("cells"), F.sum("words").alias("taken"))
     out = stored.hint("merge").join(picks, "row_id")
     words = F.filter(F.split(F.col("row")[text_col], f"{SPACE}+"), lambda w: w != "")
     part = F.element_at(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("cells", lambda c: F.slice(w, (c["offset"] + 1).cast("int"), c["words"].cast("int")))), " ")), 1)

@@ -43,7 +43,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed, _, _ = mixing.mix(documents(spark, sf_dir))
+    mixed = mixing.mix(documents(spark, sf_dir))[0]
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
