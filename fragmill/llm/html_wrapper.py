@@ -1,25 +1,32 @@
 """Main text of pages by wrapper induction on the pages of each host.
 
-1. Every page is parsed to a tolerant DOM, whose block structure is folded to a shape: repeated
-   flow elements (paragraphs, list items, cells ...) of one parent become one node.
+1. Every page is parsed to a tolerant DOM, whose block structure is folded to a shape: flow elements of
+   one parent with equal labels (paragraphs, list items, cells ...) become one node, and so do other
+   siblings that are built alike.
 2. The most frequent shape of a host is its template.  Simple tree matching aligns every other
-   shape of the host to it (largest common ordered tree of equal labels), once for each shape.
-3. Text digests, text lengths and link lengths of aligned nodes are summed over all pages of the
-   host: a node whose text never changes is template, the others are slots.  Everything is
-   pre-aggregated (least and greatest digest, sums), so a host that holds a third of all pages
-   reaches the shuffle as a few rows a batch.
-4. The host's rule names the slots' container: marked articles first, then marked main
-   parts, else the body without template nodes and link lists.  Each page is aligned again and gives
-   the text of the container without menus, headers, footers, asides, adverts, forms, notices, scripts,
-   styles and comments, which their elements, roles, classes and ids show.
-
-A marked article keeps all its other text, constant or not: only an unmarked body loses
-template nodes, and only on hosts with ``LEAST`` pages or more.
+   shape of the host to it (largest common ordered tree of equal labels), once for each shape.  A shape that
+   aligns by less than half is a layout of its own.
+3. Lines of text are counted by slot, their node of the template: (host, slot, digest of the line) ->
+   pages, characters, link characters.  A line that a further page of the host would hold with a
+   probability of ``SURE`` or more, (pages with it) / (pages + 2), is constant and belongs to the template;
+   all others vary and are content.  Counts are pre-aggregated and keyed by line, so a host that
+   holds a third of all pages meets in no task.
+4. The rule of a host comes from its slots.  Its container is the most explicit kind of element (article; main; a
+   class that names content) whose slots hold at least half of all varying text outside links, else the
+   body.  Slots that are mostly links or constant text are furniture: a class that might name a
+   notice, a search box or related links counts only where the slot is furniture as well.
+5. Each page is aligned again and gives the varying lines of its container's slots, without menus,
+   headers, footers, asides, adverts, forms, notices, scripts, styles and comments, which their elements,
+   roles and unmistakable classes show.  Rules are joined to the pages, by broadcast only where
+   they are smaller than Spark's threshold for that.
+
+A page with nothing but constant lines keeps them; a page of a layout of its own, or without any of the
+container's slots, is judged by its own text in the same way.
 
 Defined results: null or empty html gives an empty text; null url is a host of its own; broken
-markup is closed where a browser would close it; character references are decoded, unknown ones
-stay as written; repeated rows are kept; other columns are not read; an empty table gives an
-empty result.
+markup is closed where a browser would close it; elements below ``DEEPEST`` levels are siblings, as in
+browsers; character references are decoded, unknown ones stay as written; repeated rows are kept;
+other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,8 +41,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages of a host from which a text that never changes counts as template.
-LEAST = 5
+from fragmill.llm.common import pieces, shared_table, trimmed
+
+#: Probability from which a line counts as the template's.
+SURE = 0.7
+#: Share of the text from which a slot is furniture or a container.
+HALF = 0.5
+#: Levels of elements.
+DEEPEST = 512
 
 # Element sets of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,51 +59,60 @@ DROPPED = frozenset("nav footer aside form script style noscript template textar
 CLOSES_P = FLOW | frozenset("div section article aside nav header footer main form address center details fieldset hr menu".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 BARRIER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "p": {"table", "td", "th", "article", "section", "div", "main", "body", "li", "blockquote"}}
-# Words in classes, ids and roles that mark what is not the article.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banners?|sponsor(?:ed|s)?|promos?|promotions?|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modals?|overlay|sidebars?|side|aside|menus?|nav|navbar|navigation|breadcrumbs?|comments?|respond|disqus|replies|share|sharing|social|related|recommended|recommendations|newsletter|subscribe|subscription|signup|login|search|footer|masthead|toolbar|widgets?|pagination|pager|skip|contentinfo|complementary|dialog|form|topbar|bottombar)(?:$|[\s_-])",
-    re.I,
+# Classes and ids, as whole words, that name what is no article; roles start with "role-".
+NAMED = frozenset(
+    """ad ads advert adverts advertisement advertisements advertising adsense ad-banner ad-container ad-slot sponsored cookie-notice
+    cookie-banner cookie-consent cookie-bar consent-banner gdpr sidebar side-bar nav navbar navbar-nav navigation menu main-menu site-nav
+    breadcrumb breadcrumbs comment comments comment-list comments-area comments-section respond disqus disqus_thread replies newsletter
+    newsletter-signup pagination pager footer site-footer page-footer site-header masthead toolbar topbar popup modal share-buttons
+    sharing social-share social-links related-posts related-articles related-stories login-form search-form searchbox skip-link
+    widget-area role-navigation role-banner role-contentinfo role-complementary role-search role-dialog role-alertdialog role-alert
+    role-form role-menu role-menubar role-toolbar""".split()
 )
-# Beginnings of classes that tell what an element goes with, not what it is.
-BESIDE = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without|not|is|show|hide)[_-]\S*", re.I)
-MAIN = re.compile(r"(?:^|[\s_-])(?:main|content|article|post|entry|story|articlebody)(?:$|[\s_-])", re.I)
-HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
+# Words that name such parts on some pages, and content on others.
+LIKELY = frozenset("related recommended recommendations share social search side aside alert alerts notice notices notification notifications promo promos promotion promotions sponsor sponsors widget widgets banner banners overlay subscribe subscription signup login cookie cookies consent popups modals".split())
+# Words that name the main part, or its header.
+MAIN = frozenset("main content article post entry story articlebody article-body article-content article-text post-content post-body entry-content story-body story-content main-content page-content body-content content-main content-body role-main role-article".split())
+HEADER = frozenset("header page-header top-header".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?][^>]*(?:>|$)|</?[a-zA-Z][^>]*$", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "marks", "main", "hidden", "children")
+    __slots__ = ("tag", "names", "hidden", "children")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.children = tag, []
-        self.marks, self.main, self.hidden = "", False, False
+        self.names: tuple[str, ...] = ()
+        self.hidden = False
         if attrs:
+            names = set()
             for name, value in _ATTR.findall(attrs):
-                name, value = name.lower(), value.strip("\"'")
+                name, value = name.lower(), value.strip("\"'").lower()
                 if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
                     self.hidden = True
-                elif name == "itemprop" or name == "role":
-                    self.main |= value.lower() in ("articlebody", "main")
-                    self.marks += f" {value}" if name == "role" else ""
+                elif name == "itemprop":
+                    names |= {value} & {"articlebody"}
+                elif name == "role":
+                    names |= {f"role-{v}" for v in value.split()}
                 elif name in ("class", "id"):
-                    self.marks += f" {BESIDE.sub('', value)}"
+                    names |= {*value.split()}
+            self.names = tuple(sorted(names))
 
-    def boilerplate(self, inside: bool) -> bool:
-        """Does the element hold what no article holds?  ``inside``: it lies in the container."""
-        if self.hidden or self.tag in DROPPED or bool(self.marks and self.tag not in ("html", "body") and MARKS.search(self.marks)):
-            return True
-        return not inside and (self.tag == "header" or bool(self.marks and HEADER.search(self.marks)))
+    def boilerplate(self) -> bool:
+        """Does the element show that no article holds it?"""
+        return self.hidden or self.tag in DROPPED or (bool(self.names) and self.tag not in ("html", "body") and not NAMED.isdisjoint(self.names))
 
     def label(self) -> str:
-        return self.tag + re.sub(r"[^a-z]+", ".", self.marks.lower()).rstrip(".") if self.marks else self.tag
+        return ".".join([self.tag, *dict.fromkeys(re.sub(r"[^a-z:_-]+", "", n) for n in self.names)]) if self.names else self.tag
 
 
 def parse(page: str) -> Node:
     """A DOM of elements and strings; unclosed elements end where their parent does."""
     root = Node("#root")
     stack = [root]
+    beyond: dict[str, int] = {}  # open elements below the deepest level
     at = 0
     while True:
         m = _TAG.search(page, at)
@@ -105,6 +127,9 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
+            if beyond.get(tag):
+                beyond[tag] -= 1
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
@@ -125,7 +150,10 @@ def parse(page: str) -> Node:
             at = page.find(">", end.start())
             at = len(page) if at < 0 else at + 1
         elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
+            if len(stack) < DEEPEST:
+                stack.append(node)
+            else:
+                beyond[tag] = beyond.get(tag, 0) + 1
 
 
 def _close(stack: list[Node], tags: set[str], barrier: set[str]) -> None:
@@ -138,37 +166,46 @@ def _close(stack: list[Node], tags: set[str], barrier: set[str]) -> None:
 
 
 class Shape:
-    """A node of the folded tree: label, folded children, the DOM nodes it stands for."""
+    """A node of the folded tree: label, folded children, the DOM nodes it stands for, and all this as text."""
 
-    __slots__ = ("label", "children", "nodes")
+    __slots__ = ("label", "children", "nodes", "text")
 
     def __init__(self, label: str, nodes: list[Node]):
         self.label, self.nodes, self.children = label, nodes, []
 
 
-def fold(nodes: list[Node], label: str, deep: int = 0) -> Shape:
+def fold(nodes: list[Node], label: str) -> Shape:
     shape = Shape(label, nodes)
-    if deep > 60:
-        return shape
-    groups: list[tuple[str, list[Node]]] = []
-    seen: dict[str, list[Node]] = {}
+    flow: dict[str, list[Node]] = {}
+    alike: dict[str, Shape] = {}
+    order: list = []
     for kid in _structure(nodes):
         name = kid.label()
-        if kid.tag in FLOW and name in seen:
-            seen[name].append(kid)
+        if kid.tag in FLOW:
+            if name not in flow:
+                order.append(name)
+            flow.setdefault(name, []).append(kid)
         else:
-            groups.append((name, [kid]))
-            if kid.tag in FLOW:
-                seen[name] = groups[-1][1]
-    if len(groups) > 60:  # too many siblings for a template: fold all that look alike
-        merged: dict[str, list[Node]] = {}
-        for name, kids in groups:
-            merged.setdefault(name, []).extend(kids)
-        groups = list(merged.items())
-    shape.children = [fold(kids, name, deep + 1) for name, kids in groups]
+            one = fold([kid], name)
+            if one.text in alike:
+                _merge(alike[one.text], one)
+            else:
+                alike[one.text] = one
+                order.append(one)
+    shape.children = [fold(flow[x], x) if isinstance(x, str) else x for x in order]
+    shape.text = f"[{','.join([json.dumps(label), *(c.text for c in shape.children)])}]"
     return shape
 
 
+def _merge(a: Shape, b: Shape) -> None:
+    """Add the nodes of a shape that is built alike."""
+    stack = [(a, b)]
+    while stack:
+        x, y = stack.pop()
+        x.nodes += y.nodes
+        stack.extend(zip(x.children, y.children))
+
+
 def _structure(nodes: list[Node]) -> list[Node]:
     """The block elements right below, those in inline elements included."""
     out, stack = [], [c for n in reversed(nodes) for c in reversed(n.children)]
@@ -182,10 +219,6 @@ def _structure(nodes: list[Node]) -> list[Node]:
     return out
 
 
-def written(shape: Shape) -> list:
-    return [shape.label, *map(written, shape.children)]
-
-
 def preorder(shape: Shape) -> list[Shape]:
     out, stack = [], [shape]
     while stack:
@@ -199,6 +232,8 @@ def preorder(shape: Shape) -> list[Shape]:
 def align(template: str, shape: str) -> tuple[int, ...]:
     """Simple tree matching: the template's node for each node of the shape in preorder, or -1."""
     a, b = json.loads(template), json.loads(shape)
+    if template == shape:
+        return tuple(range(shape.count("[")))
     sizes: dict[int, int] = {}
 
     def size(t) -> int:
@@ -240,74 +275,150 @@ def align(template: str, shape: str) -> tuple[int, ...]:
     return tuple(out)
 
 
-def blocks(nodes: list[Node], skip: set[int]) -> str:
-    """The text below, a line for each block; nodes in ``skip`` (by id) and boilerplate are left out."""
-    lines: list[str] = []
-    now: list[str] = []
+def slots(shape: Shape, template: str) -> list[int]:
+    """The template's node for each node of the shape in preorder, or -1; -1 throughout for a layout of its own."""
+    at = align(template, shape.text)
+    return list(at) if sum(p >= 0 for p in at) >= HALF * len(at) else [-1] * len(at)
+
+
+def lines(nodes: list[Node], dropped) -> list[tuple[Node, str, int]]:
+    """(block element, text, characters in links) of each line below; elements that ``dropped`` takes are left out."""
+    out, now, links, link = [], [], 0, 0
+    owners: list[Node] = []
 
     def end() -> None:
+        nonlocal links
         text = " ".join("".join(now).split())
         if text:
-            lines.append(text)
+            out.append((owners[-1], text, min(links, len(text))))
         now.clear()
+        links = 0
 
-    stack: list = [c for n in reversed(nodes) for c in (None, *reversed(n.children), None)]
+    opened, closed, unlinked, found = range(4)
+    stack: list = [(opened, n) for n in reversed(nodes)]
     while stack:
-        c = stack.pop()
-        if c is None:
+        kind, c = stack.pop()
+        if kind == closed:
             end()
+            owners.pop()
+        elif kind == unlinked:
+            link -= 1
         elif isinstance(c, str):
             now.append(c)
-        elif c.tag == "br":
+            links += len(c.strip()) if link else 0
+        elif kind == found and c.tag == "br":
             now.append(" ")
-        elif c.boilerplate(True) or id(c) in skip:
+        elif kind == found and dropped(c):
             if c.tag not in INLINE:
                 end()
-        elif c.tag in INLINE:
-            stack.extend(reversed(c.children))
+        elif kind == found and c.tag in INLINE:
+            if c.tag == "a":
+                link += 1
+                stack.append((unlinked, None))
+            stack.extend((found, x) for x in reversed(c.children))
         else:
-            end()
-            stack.append(None)
-            stack.extend(reversed(c.children))
-    end()
-    return "\n".join(lines)
+            if owners:
+                end()
+            owners.append(c)
+            stack.append((closed, None))
+            stack.extend((found, x) for x in reversed(c.children))
+    return out
 
 
-def lengths(nodes: list[Node]) -> tuple[str, int]:
-    """All text below, and how much of it is in links."""
-    parts, links = [], 0
-    stack = [(c, False) for n in reversed(nodes) for c in reversed(n.children)]
-    while stack:
-        c, link = stack.pop()
-        if isinstance(c, str):
-            parts.append(c)
-            links += len(c.strip()) if link else 0
-        elif c.tag not in RAW:
-            stack.extend((k, link or c.tag == "a") for k in reversed(c.children))
-    return " ".join("".join(parts).split()), links
+def digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def marked(root: Node) -> tuple[list[Node], list[Node], list[Node]]:
-    """Outermost articles, main parts and parts with a content class, outside boilerplate."""
-    found: tuple[list[Node], list[Node], list[Node]] = ([], [], [])
-    stack = [(root, 0)]
+def choose(template: str, varying: dict[int, tuple[int, int]], constant: dict[int, int]) -> tuple[list[int], list[int]]:
+    """(slots of the container, slots of furniture) from (characters, link characters) of varying lines and characters of constant ones."""
+    tree = json.loads(template)
+    flat: list[tuple[str, frozenset[str], int, bool]] = []  # tag, names, end of the subtree, inside an article or main part
+    stack = [(tree, False)]
+    order: list[tuple[list, bool]] = []
     while stack:
-        n, inside = stack.pop()
-        if n.boilerplate(bool(inside)) and n is not root:
+        t, inside = stack.pop()
+        tag, _, names = t[0].partition(".")
+        inside = inside or tag in ("article", "main") or not MAIN.isdisjoint(names.split("."))
+        order.append((t, inside))
+        stack.extend((c, inside) for c in reversed(t[1:]))
+    size: dict[int, int] = {}
+    for t, _ in reversed(order):
+        size[id(t)] = 1 + sum(size[id(c)] for c in t[1:])
+    for at, (t, inside) in enumerate(order):
+        tag, _, names = t[0].partition(".")
+        flat.append((tag, frozenset(names.split(".")), at + size[id(t)], inside))
+
+    out: set[int] = set()
+    furniture: list[int] = []
+    for at, (tag, names, end, inside) in enumerate(flat):
+        if at in out:
             continue
-        for bit, ok in ((1, n.tag == "article"), (2, n.tag == "main" or n.main), (4, n.tag not in ("html", "body", "#root") and n.tag not in INLINE and bool(n.marks and MAIN.search(n.marks)))):
-            if ok and not inside & bit:
-                found[bit.bit_length() - 1].append(n)
-                inside |= bit
-        stack.extend((c, inside) for c in reversed(n.children) if isinstance(c, Node))
-    return found
+        chars, links, same = (sum(x) for x in zip(*((*varying.get(i, (0, 0)), constant.get(i, 0)) for i in range(at, end))))
+        mostly = lambda x, total: total > 0 and x >= HALF * total
+        named = tag not in ("html", "body", "#root") and not NAMED.isdisjoint(names)
+        doubtful = not LIKELY.isdisjoint(names) or (not inside and (tag == "header" or not HEADER.isdisjoint(names)))
+        listed = not inside and tag not in ("html", "body", "#root") and mostly(links, chars)
+        if named or tag in DROPPED or listed or (doubtful and (mostly(links, chars) or mostly(same, chars + same) or tag == "header")):
+            furniture.append(at)
+            out |= set(range(at, end))
+    content = lambda at: sum(varying.get(i, (0, 0))[0] - varying.get(i, (0, 0))[1] for i in range(at, flat[at][2]) if i not in out)
+    whole = content(0)
+    kinds = (lambda tag, names: tag == "article", lambda tag, names: tag == "main" or not names.isdisjoint(("articlebody", "role-main")), lambda tag, names: tag not in ("html", "body", "#root") and tag not in INLINE and not MAIN.isdisjoint(names))
+    for kind in kinds:
+        found, end = [], 0
+        for at, (tag, names, stop, _) in enumerate(flat):
+            if at >= end and at not in out and kind(tag, names):
+                found.append(at)
+                end = stop
+        if found and sum(map(content, found)) >= HALF * whole:
+            return found, furniture
+    return [next((at for at, x in enumerate(flat) if x[0] == "body"), 0)], furniture
+
+
+def slot_text(page_lines, slot_of) -> tuple[dict[int, tuple[int, int]], dict[int, int]]:
+    """What ``choose`` takes, from the lines of one page: all of them vary."""
+    varying: dict[int, tuple[int, int]] = {}
+    for owner, text, links in page_lines:
+        n, k = varying.get(slot_of[id(owner)], (0, 0))
+        varying[slot_of[id(owner)]] = n + len(text), k + links
+    return varying, {}
+
+
+@functools.lru_cache(maxsize=4096)
+def read_rule(text: str) -> dict:
+    """template, container, furniture, and constant: slot -> digests (slot -1: of other layouts, anywhere)."""
+    rule = json.loads(text)
+    constant: dict[int, set[int]] = {}
+    for slot, d in rule["constant"]:
+        constant.setdefault(slot, set()).add(d)
+    return rule | {"container": set(rule["container"]), "furniture": set(rule["furniture"]), "constant": constant}
 
 
-def body(root: Node) -> Node:
-    for n in preorder_nodes(root):
-        if n.tag == "body":
-            return n
-    return root
+def extract(page: str, rule: dict | None) -> str:
+    """Main text of one page under its host's rule."""
+    root = parse(page)
+    shape = fold([root], "#root")
+    flat = preorder(shape)
+    at = slots(shape, rule["template"]) if rule else [-1] * len(flat)
+    container = [n for s, p in zip(flat, at) if rule and p in rule["container"] for n in s.nodes]
+    known = bool(container)
+    if known:
+        furniture = {id(n) for s, p in zip(flat, at) if p in rule["furniture"] for n in s.nodes}
+    else:
+        own = {id(n): k for k, s in enumerate(flat) for n in s.nodes}
+        chosen, parts = choose(shape.text, *slot_text(lines([root], Node.boilerplate), own))
+        container = [n for k in chosen for n in flat[k].nodes]
+        furniture = {id(n) for k in parts for n in flat[k].nodes}
+    if len(container) > 1:  # in page order
+        place = {id(n): k for k, n in enumerate(preorder_nodes(root))}
+        container.sort(key=lambda n: place[id(n)])
+    found = lines(container, lambda n: n.boilerplate() or id(n) in furniture)
+    constant = rule["constant"] if rule else {}
+    if not constant:
+        return "\n".join(text for _, text, _ in found)
+    slot_of = {id(n): p for s, p in zip(flat, at) for n in s.nodes} if known else {}
+    varying = [text for owner, text, _ in found if digest(text) not in constant.get(slot_of.get(id(owner), -1), ())]
+    return "\n".join(varying or (text for _, text, _ in found))
 
 
 def preorder_nodes(root: Node):
@@ -318,54 +429,57 @@ def preorder_nodes(root: Node):
         stack.extend(c for c in reversed(n.children) if isinstance(c, Node))
 
 
-def extract(page: str, rule: dict | None) -> str:
-    """Main text of one page under its host's rule."""
-    root = parse(page)
-    found = marked(root)
-    rank = next((k for k in range(3) if found[k] and (rule is None or k >= rule["rank"])), next((k for k in range(3) if found[k]), 3))
-    if rank < 3:
-        return blocks(found[rank], set())
-    whole = body(root)
-    skip = {id(n) for n in preorder_nodes(whole) if n.boilerplate(False)}
-    if rule and rule["constant"]:
-        shape = fold([root], "#root")
-        at = align(rule["template"], json.dumps(written(shape)))
-        constant = set(rule["constant"])
-        skip |= {id(n) for s, p in zip(preorder(shape), at) if p in constant for n in s.nodes}
-    return blocks([whole], skip)
+_STUDIED = "host string, shape_id long, node int, digest long, n long, chars long, links long, shape string"
 
 
 def _studied(batches):
-    """host, html -> host, shape, node, sums over the batch."""
-    for batch in batches:
+    """host, html -> pages of each shape (node -1), and of each line by shape and node."""
+    for batch in pieces(batches, 2048):
         sums: dict[tuple, list] = {}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
             root = parse(page.as_py())
-            found = marked(root)
-            rank = next((k for k in range(3) if found[k]), 3)
             shape = fold([root], "#root")
-            text = json.dumps(written(shape))
-            for no, s in enumerate(preorder(shape)):
-                own, links = lengths(s.nodes)
-                digest = xxhash.xxh64_intdigest(own) - (1 << 63)
-                row = sums.setdefault((host, text, no), [0, digest, digest, 0, 0, [0, 0, 0, 0]])
-                row[0] += 1
-                row[1], row[2] = min(row[1], digest), max(row[2], digest)
-                row[3] += len(own)
-                row[4] += links
-                row[5][rank] += not no
-        rows = list(sums.items())
-        kinds = [pa.string(), pa.string(), pa.int32(), *[pa.int64()] * 5, pa.int64(), pa.int64(), pa.int64()]
-        cols = [[k[0] for k, _ in rows], [k[1] for k, _ in rows], [k[2] for k, _ in rows], *[[v[c] for _, v in rows] for c in range(5)], *[[v[5][c] for _, v in rows] for c in range(3)]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["host", "shape", "node", "n", "low", "high", "chars", "links", "rank0", "rank1", "rank2"])
+            sid = digest(shape.text)
+            node = {id(n): k for k, s in enumerate(preorder(shape)) for n in s.nodes}
+            sums.setdefault((host, sid, -1, 0), [0, 0, 0, shape.text])[0] += 1
+            once = set()
+            for owner, text, links in lines([root], Node.boilerplate):
+                key = (host, sid, node[id(owner)], digest(text))
+                row = sums.setdefault(key, [0, 0, 0, None])
+                row[0] += key not in once
+                row[1] += len(text)
+                row[2] += links
+                once.add(key)
+        keys, rows = list(sums), list(sums.values())
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        cols = [*([k[c] for k in keys] for c in range(4)), *([r[c] for r in rows] for c in range(4))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in _STUDIED.split(", ")])
 
 
 def _aligned(batches):
-    """Rows of a shape's node with its host's template -> the template's node."""
-    for batch in batches:
-        shape, node, template = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("shape", "node", "template"))
-        to = [align(t, s)[n] for s, n, t in zip(shape, node, template)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to, pa.int32())], names=[*batch.schema.names, "slot"])
+    """host, shape_id, n, shape, template -> the slot of each node."""
+    for batch in pieces(batches):
+        host, sid, pages, shape, template = (batch.column(i).to_pylist() for i in range(5))
+        out: list[tuple] = []
+        for h, i, n, s, t in zip(host, sid, pages, shape, template):
+            at = align(t, s)
+            own = sum(p >= 0 for p in at) < HALF * len(at)
+            out += [(h, i, k, -1 if own else p, n) for k, p in enumerate(at)]
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["host", "shape_id", "node", "slot", "pages"])
+
+
+def _ruled(batches):
+    """host, template, slots, constant -> the host's rule as text."""
+    for batch in pieces(batches):
+        out = []
+        for template, found, constant in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            found = found or []
+            varying = {x["slot"]: (x["chars"], x["links"]) for x in found if x["slot"] >= 0}
+            same = {x["slot"]: x["same"] for x in found if x["slot"] >= 0}
+            container, furniture = choose(template, varying, same)
+            out.append(json.dumps({"template": template, "container": container, "furniture": furniture, "constant": sorted([x["slot"], x["digest"]] for x in constant or [])}))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["rule_host", "rule"])
 
 
 def host_of(url: str = "url"):
@@ -373,23 +487,32 @@ def host_of(url: str = "url"):
 
 
 def rules(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, template, rank, constant: what was learnt from all pages of each host."""
+    """rule_host, rule: what was learnt from all pages of each host; pages are parsed once for it."""
     source = pages.select(host_of(url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    sums = [F.sum(c).alias(c) for c in ("n", "chars", "links", "rank0", "rank1", "rank2")]
-    ends = [F.min("low").alias("low"), F.max("high").alias("high")]
-    per = source.mapInArrow(_studied, "host string, shape string, node int, n long, low long, high long, chars long, links long, rank0 long, rank1 long, rank2 long")
-    per = per.groupBy("host", "shape", "node").agg(*sums, *ends)
-    roots = per.where("node = 0")
-    template = roots.groupBy("host").agg(F.max(F.struct("n", "shape"))["shape"].alias("template"), F.sum("n").alias("pages"), *[F.sum(f"rank{k}").alias(f"r{k}") for k in range(3)])
-    joined = per.join(template, "host").select("host", "template", "pages", "r0", "r1", "r2", "shape", "node", "n", "low", "high", "chars", "links", "rank0", "rank1", "rank2")
-    schema = "host string, template string, pages long, r0 long, r1 long, r2 long, shape string, node int, n long, low long, high long, chars long, links long, rank0 long, rank1 long, rank2 long, slot int"
-    slots = joined.mapInArrow(_aligned, schema).where("slot >= 0").groupBy("host", "template", "pages", "r0", "r1", "r2", "slot").agg(*sums, *ends)
-    # The kind of container that most pages with any have; ties go to the more explicit one.
-    rank = F.when((F.col("r0") >= F.col("r1")) & (F.col("r0") >= F.col("r2")) & (F.col("r0") > 0), 0).when((F.col("r1") >= F.col("r2")) & (F.col("r1") > 0), 1).when(F.col("r2") > 0, 2).otherwise(3)
-    same = (F.col("n") >= LEAST) & (F.col("low") == F.col("high")) & (F.col("chars") > 0)
-    listed = (F.col("chars") > 0) & (F.col("links") * 10 > F.col("chars") * 6)
-    constant = F.collect_set(F.when((F.col("slot") > 0) & (same | listed), F.col("slot")))
-    return slots.groupBy("host").agg(F.first("template").alias("template"), F.first(rank).alias("rank"), constant.alias("constant"))
+    sums = [F.sum(c).alias(c) for c in ("n", "chars", "links")]
+    # A shape's text goes with its own row alone, and as a key, as hash aggregation takes no text as a value.
+    study = source.mapInArrow(trimmed(_studied), _STUDIED).groupBy("host", "shape_id", "node", "digest", "shape").agg(*sums)
+    study = shared_table(study, "wrapper-lines")
+    shapes = study.where("node < 0").select("host", "shape_id", "n", "shape")
+    template = shapes.groupBy("host").agg(F.max(F.struct("n", "shape"))["shape"].alias("template"))
+    aligned = shapes.join(template, "host").select("host", "shape_id", "n", "shape", "template").mapInArrow(_aligned, "host string, shape_id long, node int, slot int, pages long")
+    aligned = shared_table(aligned, "wrapper-slots")
+    # Lines of a layout of its own are counted by its shape and node; all others by slot.
+    by = ["host", "slot", "own", "own_node"]
+    own = F.when(F.col("slot") < 0, F.col("shape_id")).alias("own"), F.when(F.col("slot") < 0, F.col("node")).alias("own_node")
+    seen = aligned.select("host", "slot", *own, "pages").groupBy(*by).agg(F.sum("pages").alias("pages"))
+    told = study.where("node >= 0").join(aligned.drop("pages"), ["host", "shape_id", "node"]).select("host", "slot", *own, "digest", "n", "chars", "links")
+    told = told.groupBy(*by, "digest").agg(*sums)
+    same = [told[c].eqNullSafe(seen[c]) for c in by]
+    told = told.join(seen, same[0] & same[1] & same[2] & same[3]).select(*[told[c] for c in (*by, "digest", "n", "chars", "links")], (F.col("n") >= SURE * (F.col("pages") + 2)).alias("constant"))
+    told = shared_table(told, "wrapper-counts")
+    of = lambda c, constant: F.sum(F.when(F.col("constant") == constant, F.col(c)).otherwise(0))
+    text = told.groupBy("host", "slot").agg(of("chars", False).alias("chars"), of("links", False).alias("links"), of("chars", True).alias("same"))
+    text = text.groupBy("host").agg(F.collect_list(F.struct("slot", "chars", "links", "same")).alias("slots"))  # as many as the template has
+    constant = told.where("constant").groupBy("host").agg(F.collect_set(F.struct("slot", "digest")).alias("constant"))  # as many as a page has
+    known = template.join(text, template["host"].eqNullSafe(text["host"]), "left").select(template["host"], "template", "slots")
+    known = known.join(constant, known["host"].eqNullSafe(constant["host"]), "left").select(known["host"], "template", "slots", "constant")
+    return shared_table(known.mapInArrow(_ruled, "rule_host string, rule string"), "wrapper-rules")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -397,12 +520,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     known = rules(pages, url_col, html_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
-            for host, page, template, rank, constant in zip(*(batch.column(i).to_pylist() for i in range(2, 7))):
-                out.append(extract(page, {"template": template, "rank": rank, "constant": constant} if template else None))
+            for page, rule in zip(batch.column(3), batch.column(4)):
+                out.append(extract(page.as_py(), read_rule(rule.as_py()) if rule.is_valid else None))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.string())], names=["page_id", "url", "host", "text"])
 
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host_of(url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    rows = source.join(known, "host", "left").select("page_id", "url", "host", "html", "template", "rank", "constant")
-    return rows.mapInArrow(run, "page_id long, url string, host string, text string")
+    rows = source.join(known, F.col("host") == F.col("rule_host"), "left").select("page_id", "url", "host", "html", "rule")
+    return rows.mapInArrow(trimmed(run), "page_id long, url string, host string, text string")
