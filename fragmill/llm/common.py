@@ -92,12 +92,16 @@ def drop_shared(spark: SparkSession, *tables: DataFrame) -> None:
     drop_paths(spark, [name for table in tables for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}])
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that nothing reads any more: its cleaner goes by the driver's garbage."""
+def release_shuffles(spark: SparkSession, wait: float = 0.1) -> None:
+    """Let Spark delete shuffle files that nothing reads any more: its cleaner goes by the driver's garbage.
+
+    ``wait``: seconds for Python and the cleaner, which both work in the background, where the disk is short.
+    """
     for _ in range(2):
         gc.collect()
-        time.sleep(0.1)  # Python hands its garbage over to the JVM in the background
+        time.sleep(wait)
         spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

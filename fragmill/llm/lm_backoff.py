@@ -5,13 +5,13 @@ c(b) / N, or where b is unseen as well ``BACKOFF`` squared / N.  Counts are thos
 corpus less the document's own (leave one out), so a document does not vouch for itself.
 
 Documents are dealt to chunks of a bounded size by a hash of their content.  A chunk explodes its
-texts to n-grams and pre-aggregates them, so that a very frequent n-gram is one row entry a
+texts to n-grams and pre-aggregates them, so that a very frequent n-gram is one entry a
 chunk; entries go to count tables partitioned by n-gram hash.  Each partition sums its entries
-and answers every chunk with the totals, in the order asked.  The chunk joins them to its
+and answers every chunk with what other chunks have of its n-grams, in the order asked: a bit for each, and the counts
+of those that others have.  The chunk joins them to its
 exploded n-grams and sums the log scores of each document.  Entries of one chunk and partition
-travel as packed arrays in one row, so rows are chunks times partitions; ``chunk_chars`` is to grow
-with the memory of a task to keep rows long on very large corpora.  What moves grows with the corpus, and no task takes more
-than its chunk or its partition.
+travel as packed arrays in one row, and only where there are any, so there are never more rows than entries and what
+moves grows with the corpus; no task takes more than its chunk or its partition.
 
 Defined results: words are runs of anything but ASCII white space, lower-cased A-Z; null, empty
 or word-less text has n_words 0, log_score 0 and a null mean; repeated rows and ids each count
@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragmill.llm.common import WordHashes, hash_words, mix, release_shuffles, shared_table
+from fragmill.llm.common import WordHashes, hash_words, mix, release_shuffles, shared_table, trimmed
 
 BACKOFF = 0.4
-#: Characters of text in a chunk, on average.
+#: Characters of text in a chunk, and of the texts whose entries fill a partition, on average.
 CHUNK_CHARS = 12_000_000
+PART_CHARS = 12_000_000
 _MEMO = WordHashes()
 _START = np.uint64(0x517CC1B727220A95)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -69,9 +70,10 @@ def _counted(parts: int):
         for order, x in ((1, found[0]), (0, found[1]), (2, found[2])):
             keys, counts = np.unique(np.concatenate(x) if x else np.zeros(0, np.uint64), return_counts=True)
             ends = _slices(keys, parts)
-            rows = [(keys[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()) for a, b in zip(ends[:-1], ends[1:])]
+            rows = [(k, keys[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b]
+            n = len(rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(parts), pa.int32()), pa.array([chunk] * parts, pa.int32()), pa.array([order] * parts, pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * n, pa.int32()), pa.array([order] * n, pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
                 names=["part", "chunk", "gram", "keys", "counts"],
             )
 
@@ -79,7 +81,7 @@ def _counted(parts: int):
 
 
 def _summed(batches):
-    """All entries of a partition -> totals for each chunk, in the order of its keys."""
+    """All entries of a partition -> for each chunk what the others have, in the order of its keys."""
     rows: dict[int, list] = {}
     part = None
     for batch in batches:
@@ -91,41 +93,44 @@ def _summed(batches):
         keys, at = np.unique(np.concatenate([e[1] for e in entries]), return_inverse=True)
         totals = np.bincount(at, weights=np.concatenate([e[2] for e in entries]), minlength=len(keys)).astype(np.int64)
         everything = int(totals.sum())
-        wide = bool(len(totals)) and int(totals.max()) >= 1 << 32
-        totals = totals if wide else totals.astype(np.uint32)
-        at = np.split(at, np.cumsum([len(e[1]) for e in entries])[:-1])
+        rows_out = []
+        for (chunk, _, own), i in zip(entries, np.split(at, np.cumsum([len(e[1]) for e in entries])[:-1])):
+            others = totals[i] - own
+            told = others[others > 0]
+            wide = bool(len(told)) and int(told.max()) >= 1 << 32
+            rows_out.append((chunk, len(own), np.packbits(others > 0).tobytes(), wide, told.astype("<i8" if wide else "<u4").tobytes()))
+        n = len(rows_out)
+        col = lambda k, kind: pa.array([r[k] for r in rows_out], kind)  # noqa: E731, B023
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([e[0] for e in entries], pa.int32()),
-                pa.array([part] * len(entries), pa.int32()),
-                pa.array([order] * len(entries), pa.int32()),
-                pa.array([everything] * len(entries), pa.int64()),
-                pa.array([wide] * len(entries), pa.bool_()),
-                pa.array([totals[i].tobytes() for i in at], pa.binary()),
-            ],
-            names=["chunk", "part", "gram", "everything", "wide", "totals"],
+            [col(0, pa.int32()), pa.array([part] * n, pa.int32()), pa.array([order] * n, pa.int32()), pa.array([everything] * n, pa.int64()), col(1, pa.int64()), col(2, pa.binary()), col(3, pa.bool_()), col(4, pa.binary())],
+            names=["chunk", "part", "gram", "everything", "asked", "had", "wide", "counts"],
         )
 
 
-def _scored(batches):
-    """A chunk's documents, then the totals of its n-grams by (gram, part) -> scores."""
-    ids, texts, totals, everything = [], [], {0: [], 1: [], 2: []}, 0
+def _scored(everything: int):
+    return lambda batches: _scores(batches, everything)
+
+
+def _scores(batches, everything: int):
+    """A chunk's documents, then what others have of its n-grams by (gram, part) -> scores."""
+    ids, texts, others = [], [], {0: [], 1: [], 2: []}
     for batch in batches:
-        gram = batch.column(1).to_pylist()
-        for i, g in enumerate(gram):
+        for i, g in enumerate(batch.column(1).to_pylist()):
             if g < 0:
                 ids.append(batch.column(3)[i].as_py())
                 texts.append(grams(batch.column(4)[i].as_py().encode()))
             else:
-                totals[g].append(np.frombuffer(batch.column(7)[i].as_py(), np.int64 if batch.column(6)[i].as_py() else np.uint32))
-                everything += batch.column(5)[i].as_py() if g == 1 else 0
+                asked, had, wide, counts = (batch.column(k)[i].as_py() for k in range(5, 9))
+                told = np.zeros(asked, np.int64)
+                told[np.unpackbits(np.frombuffer(had, np.uint8), count=asked).astype(bool)] = np.frombuffer(counts, "<i8" if wide else "<u4")
+                others[g].append(told)
     if not ids:
         return
     ends = np.cumsum([0, *(len(t[0]) for t in texts)])
     found = {}  # gram -> (place of each position's n-gram, totals)
     for g, which in ((1, 0), (0, 1), (2, 2)):
-        at = np.unique(np.concatenate([t[which] for t in texts]), return_inverse=True)[1]
-        found[g] = at, np.concatenate(totals[g]).astype(np.int64) if totals[g] else np.zeros(0, np.int64)
+        _, at, here = np.unique(np.concatenate([t[which] for t in texts]), return_inverse=True, return_counts=True)
+        found[g] = at, here + np.concatenate([np.zeros(0, np.int64), *others[g]])
 
     def rest(g: int, i: int) -> np.ndarray:
         """Counts of document i's n-grams in all other documents."""
@@ -140,9 +145,9 @@ def _scored(batches):
             scores.append(0.0)
             seen2.append(0)
             continue
-        others = max(everything - len(words), 1)
+        rest_words = max(everything - len(words), 1)
         c2, c0, c1 = rest(2, i), rest(0, i), rest(1, i)
-        low = np.where(c1 > 0, BACKOFF * np.maximum(c1, 1), BACKOFF * BACKOFF) / others
+        low = np.where(c1 > 0, BACKOFF * np.maximum(c1, 1), BACKOFF * BACKOFF) / rest_words
         s = np.where(c2 > 0, np.maximum(c2, 1) / np.maximum(c0, 1), low)
         scores.append(math.fsum(np.log(s).tolist()))
         seen2.append(int((c2 > 0).sum()))
@@ -153,21 +158,24 @@ def _scored(batches):
     )
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, part_chars: int = PART_CHARS) -> DataFrame:
     """doc_id, n_words, n_seen_bigrams, log_score (natural), mean_log_score of each row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    size = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    chunks = int(size) // chunk_chars + 1
+    size = int(docs.agg(F.sum(F.length(text))).first()[0] or 0)
+    chunks, parts = size // chunk_chars + 1, size // part_chars + 1
     # Documents with equal ids and texts share a chunk, which is harmless.
     chunk = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(chunks)).cast("int")
     source = docs.select(chunk.alias("chunk"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     dealt = source.select("chunk", "text").repartitionById(chunks, F.col("chunk"))
-    entries = dealt.mapInArrow(_counted(chunks), "part int, chunk int, gram int, keys binary, counts binary")
-    entries = entries.repartitionById(chunks, F.col("part"))
-    answers = shared_table(entries.mapInArrow(_summed, "chunk int, part int, gram int, everything long, wide boolean, totals binary"), "backoff-totals")
+    entries = dealt.mapInArrow(trimmed(_counted(parts)), "part int, chunk int, gram int, keys binary, counts binary")
+    entries = entries.repartitionById(parts, F.col("part"))
+    told = "chunk int, part int, gram int, everything long, asked long, had binary, wide boolean, counts binary"
+    answers = shared_table(entries.mapInArrow(trimmed(_summed), told), "backoff-answers")
     del dealt, entries  # else their shuffle files stay
-    release_shuffles(docs.sparkSession)
-    asked = source.select("chunk", F.lit(-1).alias("gram"), F.lit(-1).alias("part"), "doc_id", "text", F.lit(None).cast("long").alias("everything"), F.lit(None).cast("boolean").alias("wide"), F.lit(None).cast("binary").alias("totals"))
-    told = answers.select("chunk", "gram", "part", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "everything", "wide", "totals")
-    both = asked.unionByName(told).repartitionById(chunks, F.col("chunk")).sortWithinPartitions("gram", "part")
-    return both.mapInArrow(_scored, "doc_id long, n_words long, n_seen_bigrams long, log_score double, mean_log_score double")
+    release_shuffles(docs.sparkSession, wait=0.7)
+    everything = answers.where("gram = 1").select("part", "everything").distinct().agg(F.sum("everything")).first()[0] or 0  # one row a partition
+    none = lambda kind: F.lit(None).cast(kind)
+    asking = source.select("chunk", F.lit(-1).alias("gram"), F.lit(-1).alias("part"), "doc_id", "text", none("long").alias("asked"), none("binary").alias("had"), none("boolean").alias("wide"), none("binary").alias("counts"))
+    told = answers.select("chunk", "gram", "part", none("long").alias("doc_id"), none("string").alias("text"), "asked", "had", "wide", "counts")
+    both = asking.unionByName(told).repartitionById(chunks, F.col("chunk")).sortWithinPartitions("gram", "part")
+    return both.mapInArrow(trimmed(_scored(int(everything))), "doc_id long, n_words long, n_seen_bigrams long, log_score double, mean_log_score double")
