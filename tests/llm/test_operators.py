@@ -194,6 +194,34 @@ def test_full_comparison_of_a_bucket(monkeypatch, spark):
     assert {r["doc_id"]: r["component_id"] for r in out.collect()} == groups
 
 
+@pytest.mark.parametrize("block,salt,firsts", [(2, 1, 1), (3, 2, 0)])
+def test_small_blocks_and_salts_give_the_same_groups(monkeypatch, spark, block, salt, firsts):
+    rows = corpus(5, 90)
+    rng = random.Random(3)
+    passage = " ".join(f"p{rng.randrange(500)}" for _ in range(60))
+    rows += [(3000 + k, f"{passage} " + " ".join(f"q{rng.randrange(900)}" for _ in range(rng.choice([4, 8, 30]))), "en", "a", None) for k in range(40)]
+    groups, _ = brute_groups(rows, 4, 85)
+    for name, value in (("BLOCK", block), ("SALT", salt), ("FIRSTS", firsts)):
+        monkeypatch.setattr(ngram_join, name, value)
+    out = ngram_join.join(spark.createDataFrame(rows, SCHEMA), 4, 85)
+    assert {r["doc_id"]: r["component_id"] for r in out.collect()} == groups
+
+
+def test_pairs_leave_a_block_in_bounded_batches(monkeypatch):
+    pa = pytest.importorskip("pyarrow")
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(0, 1 << 63, 100, dtype=np.uint64))
+    rows = [(7, 0, 0, 2, k, k, len(base), ngram_join.histogram(base), [7]) for k in range(60)]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=list("abcdefghi"))
+    monkeypatch.setattr(ngram_join, "PAIRS", 100)
+    sizes, pairs = [], set()
+    for out in ngram_join._across(85)([batch]):
+        sizes.append(out.num_rows)
+        pairs |= set(zip(out.column(0).to_pylist(), out.column(1).to_pylist()))
+    assert max(sizes) < 160 and sum(sizes) == len(pairs) == 60 * 59 // 2
+
+
 def test_across_compares_blocks():
     pa = pytest.importorskip("pyarrow")
     rng = np.random.default_rng(1)
@@ -245,8 +273,8 @@ def test_backoff_scores(docs, empty):
                 n = c1[y] - o1[y]
                 s += math.log((0.4 * n if n else 0.16) / (total - len(w)))
         want.append((r["doc_id"], len(w), round(s, 6)))
-    for chunk in (1_000_000, 5_000):
-        got = [(r["doc_id"], r["n_words"], round(r["log_score"], 6)) for r in lm_backoff.scores(docs, chunk_chars=chunk).collect()]
+    for chunk, part in ((1_000_000, 1_000_000), (5_000, 5_000), (5_000, 700), (700, 40_000)):
+        got = [(r["doc_id"], r["n_words"], round(r["log_score"], 6)) for r in lm_backoff.scores(docs, chunk_chars=chunk, part_chars=part).collect()]
         assert sorted(got) == sorted(want)
     assert lm_backoff.scores(empty).count() == 0
 
@@ -340,6 +368,77 @@ def test_fences_follow_the_groups_word_length(spark):
     assert kept == good
 
 
+def brute_fences(rows, prior, gamma):
+    """(lang, source) -> rule -> (median, spread); rows: lang, source and the shares of documents that teach."""
+    binned = lambda x: math.floor(math.log(x) / math.log(gamma)) if x > 0 else -1e9
+    value = lambda b: 0.0 if b == -1e9 else gamma ** (b + 0.5)
+    out = collections.defaultdict(dict)
+    for rule in quality_rules.RULES:
+        lean = lambda own, wide: collections.Counter({b: own[b] + prior * wide[b] for b in {*own, *wide}})
+        share = lambda c: collections.Counter({b: n / sum(c.values()) for b, n in c.items()})
+        every = share(collections.Counter(binned(r[2][rule]) for r in rows))
+        for lang in {r[0] for r in rows}:
+            wide = share(lean(collections.Counter(binned(r[2][rule]) for r in rows if r[0] == lang), every))
+            for source in {r[1] for r in rows if r[0] == lang}:
+                c = lean(collections.Counter(binned(r[2][rule]) for r in rows if r[:2] == (lang, source)), wide)
+                total, now, q = sum(c.values()), 0.0, {}
+                for b in sorted(c):
+                    now += c[b]
+                    for p in (0.25, 0.5, 0.75):
+                        if now >= p * total * (1 - 1e-9):
+                            q.setdefault(p, value(b))
+                out[lang, source][rule] = q[0.5], 1.9 * min(q[0.5] - q[0.25], q[0.75] - q[0.5])
+    return out
+
+
+def test_fences_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(500):
+        lang, source = rng.choice(["en", "en", "de", None]), rng.choice(["a", "a", "b", "c", None])
+        words = [("w" * rng.randint(1, 9 if lang == "en" else 14)) + str(rng.randrange(900)) + "#" * (rng.random() < 0.1) for _ in range(rng.randint(40, 120))]
+        rows.append((i, "\n".join(" ".join(words[k : k + 9]) for k in range(0, len(words), 9)), lang, source, None))
+    counts = quality_rules.metrics(spark.createDataFrame(rows, SCHEMA))
+    shares = lambda r: {k: r[a] / max(1, r[b]) for k, (a, b, *_) in quality_rules.RULES.items()}
+    taught = [(r["lang"], r["source"], shares(r)) for r in counts.collect() if r["n_words"] >= 50 and 100 * r["n_repeat_words"] <= 50 * r["n_words"]]
+    want = brute_fences([t for t in taught if all(c is None or t[2][k] <= c for k, (_, _, c, _) in quality_rules.RULES.items())], quality_rules.PRIOR, quality_rules.GAMMA)
+    got = quality_rules.fences(quality_rules.sketches(counts, "lang", "source")).collect()
+    assert {(r["g_lang"], r["g_source"]) for r in got} == set(want)
+    for r in got:
+        for k in quality_rules.RULES:
+            mid, spread = want[r["g_lang"], r["g_source"]][k]
+            assert abs(r[f"{k}_mid"] - mid) < 1e-9 and abs(r[f"{k}_spread"] - spread) < 1e-9
+
+
+def symbol_rows(levels, seed, n=120):
+    """Documents of sources that differ in their usual share of symbols."""
+    rng = random.Random(seed)
+    rows = []
+    for source, level in levels.items():
+        for _ in range(n):
+            words = [f"word{rng.randrange(5000)}" + "#" * (rng.random() < level) for _ in range(100)]
+            rows.append((len(rows), " ".join(words), "en", source, None))
+        probe = [f"word{k + 1000}" + "#" * (k % 5 == 0) for k in range(100)]
+        rows.append((len(rows), " ".join(probe), "en", source, None))
+    return rows
+
+
+def test_a_moved_source_moves_its_own_verdicts_alone(spark):
+    judged = lambda rows, parts: {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(rows, SCHEMA).repartition(parts)).collect()}
+    rows = symbol_rows({"a": 0.0, "b": 0.0, "c": 0.0}, 1)
+    plain = judged(rows, 3)
+    probes = [r[0] for r in rows if r[1].startswith("word1000# word1001 word1002 ")]
+    assert [plain[i] for i in probes] == [False, False, False] and sum(plain.values()) == len(rows) - 3
+    moved = judged(symbol_rows({"a": 0.0, "b": 0.2, "c": 0.0}, 1), 3)
+    assert [moved[i] for i in probes] == [False, True, False] and sum(moved.values()) == len(rows) - 2
+
+
+def test_verdicts_repeat(spark):
+    rows = symbol_rows({"a": 0.0, "b": 0.03, "c": 0.1, None: 0.06}, 2)
+    runs = [sorted(map(tuple, quality_rules.judge(spark.createDataFrame(rows, SCHEMA).repartition(k)).select("doc_id", "kept").collect())) for k in (1, 2, 3, 5, 7)]
+    assert all(r == runs[0] for r in runs)
+
+
 # 7 mixing
 
 def fill(sizes, weights):
@@ -360,7 +459,7 @@ def test_mixing(spark, empty):
     rng = random.Random(4)
     rows = [(i, " ".join("w" for _ in range(rng.choice([0, 5, 50, 300]))) if i % 17 else None, "en", rng.choice(["a", "a", "a", "b", "ä", "c", None]), None) for i in range(600)]
     df = spark.createDataFrame(rows, SCHEMA)
-    out, drawn, packed = mixing.mix(df)
+    out, drawn, packed, counts = mixing.mix(df, shard_slots=100)
     got = out.collect()
     assert len(got) == len(rows)
     sizes = collections.Counter()
@@ -374,10 +473,28 @@ def test_mixing(spark, empty):
     for r in got:
         assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-6
     assert all(abs(taken[s] - want[s]) <= 0.05 * want[s] + 64 for s in sizes)
-    again = {r["row_id"]: r["taken"] for r in mixing.mix(df)[0].collect()}
+    again = {r["row_id"]: r["taken"] for r in mixing.mix(df, shard_slots=100)[0].collect()}
     assert again == {r["row_id"]: r["taken"] for r in got}
     n = drawn.count()
     assert drawn.select("shard", "slot").distinct().count() == n
+    # Each shard holds what it drew, shards are full but the last, and the counts say what is taken.
+    per = {(r["shard"], r["source_no"]): r["count"] for r in drawn.groupBy("shard", "source_no").count().collect()}
+    assert per == {(r["shard"], r["source_no"]): r["n"] for r in counts.collect()}
+    shards = collections.Counter()
+    for (shard, _), k in per.items():
+        shards[shard] += k
+    assert [shards[k] for k in range(len(shards))] == [100] * (n // 100) + [n % 100] * (n % 100 > 0)
+    assert drawn.agg(F.max("slot")).first()[0] == 99
+    slots = collections.Counter()
+    for (_, no), k in per.items():
+        slots[no] += k
+    number = {r["source_no"]: r["source"] for r in got}
+    assert all(abs(taken[number[no]] - 64 * k) <= 64 * 2 for no, k in slots.items())
+    mean = {no: k / len(shards) for no, k in slots.items()}
+    spread = sum((per.get((s, no), 0) - mean[no]) ** 2 / mean[no] for s in range(n // 100) for no in slots)
+    assert 0 < spread < 3 * (n // 100) * len(slots)  # drawn, not dealt evenly, and no wilder than the law
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "mix-draws" in plan or "shard" in plan
     assert packed.groupBy("row_id").agg(F.sum("words").alias("w")).agg(F.sum("w")).first()[0] == sum(sizes.values())
     assert mixing.mix(empty)[0].count() == 0 and mixing.mixed_documents(empty).count() == 0
     text = mixing.mixed_documents(df.withColumn("row", F.lit(1)))
@@ -386,6 +503,21 @@ def test_mixing(spark, empty):
     assert {r["source"]: r["w"] for r in words.collect()} == dict(taken)
 
 
+def test_very_many_sources(spark):
+    rows = [(i, "w " * (1 + i % 7), "en", f"host{i % 900:04d}" if i % 901 else None, None) for i in range(2700)]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA).repartition(3), shard_slots=64, block_words=2)[0].collect()
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r[3]] += len(r[1].split())
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None]
+    want = fill(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)})
+    taken = collections.Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        assert abs(r["target"] - want[r["source"]]) < 1e-6 and r["taken"] <= 2 * r["size"]
+    assert all(abs(taken[s] - want[s]) <= 2 for s in sizes)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 257])
 def test_permutations(spark, n):
     out = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(7)).alias("p")).collect()
@@ -467,10 +599,11 @@ def test_equal_windows_anchor_alike():
         for _ in range(2):
             docs = [np.array([hash(x) & (1 << 62) - 1 for x in ([rng.choice("abcdefgh") for _ in range(rng.randrange(40))] + inner + [rng.choice("abcdefgh") for _ in range(rng.randrange(40))])], np.uint64) for _ in range(2)]
         keys = []
-        for h in docs:
-            key, first, n = substring_dedup.anchors(h, 50)
+        doc, *found = substring_dedup.anchors(docs, 50)
+        for i, h in enumerate(docs):
+            key, second, first, n = (x[doc == i] for x in found)
             w = substring_dedup.stretch_hashes(h, 50, 1)
-            keys.append({int(x): int(k) for k, f, c in zip(key, first, n) for x in w[f : f + c]})
+            keys.append({int(x): (int(k), int(z)) for k, z, f, c in zip(key, second, first, n) for x in w[f : f + c]})
             assert n.sum() == len(w)
         shared = keys[0].keys() & keys[1].keys()
         assert len(shared) > 0 and all(keys[0][x] == keys[1][x] for x in shared)
@@ -543,3 +676,69 @@ def test_secrets_follow_an_equals_sign(spark):
     df = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")
     got = {r["doc_id"]: [(m["s"], m["e"]) for m in r["entropy"]] for r in secret_scan.scan(df).collect()}
     assert got == {i: spans for i, _, spans in texts}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 17, 100])
+def test_running_values(spark, n):
+    rng = random.Random(n)
+    values = [rng.randrange(50) for _ in range(n)]
+    df = spark.createDataFrame([(values,)], "v array<int>")
+    sums, tops = df.select(secret_scan.before(F.col("v"), lambda a, b: a + b, F.lit(0)), secret_scan.before(F.col("v"), F.greatest, F.lit(0))).first()
+    assert sums == [sum(values[:i]) for i in range(n)] and tops == [max([0, *values[:i]]) for i in range(n)]
+
+
+def test_very_many_secrets_in_one_text(spark):
+    import time
+
+    rng = random.Random(2)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    bits = lambda t: max(-sum(n / 20 * math.log2(n / 20) for n in collections.Counter(t[i : i + 20]).values()) for i in range(len(t) - 19))
+    parts, want, at = [], [], 0
+    for k in range(6000):
+        secret = "7" + "".join(rng.choice(letters) for _ in range(29))
+        parts.append(f"token: {secret} " if k % 2 else f"é {secret} ")
+        want += [] if k % 2 or bits(secret) < 3.8 else [(at + 2, at + 32)]
+        at += len(parts[-1])
+    blob = "".join(rng.choice(letters) for _ in range(30_000))
+    df = spark.createDataFrame([(1, "".join(parts)), (2, blob)], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in secret_scan.scan(df).collect()}
+    assert time.time() - began < 120  # by squares of the numbers it was far longer
+    assert len(got[1]["assign"]) == 3000 and [(m["s"], m["e"]) for m in got[1]["entropy"]] == want
+    assert [(m["s"], m["e"]) for m in got[2]["entropy"]] == [(0, 30_000)]
+
+
+# Rows that repeat ids, and null ids
+
+def test_exact_keeps_other_texts_of_a_repeated_id(spark):
+    df = spark.createDataFrame([(1, "ab cd", "x"), (2, "ab cd", "y"), (2, "zz yy", "z"), (3, "q r", "b"), (3, "q r", "a"), (4, " mn", "k"), (4, "mn ", "k"), (None, "ab cd", "n"), (None, "only", "n")], "doc_id long, text string, keep string")
+    runs = [sorted(map(repr, map(tuple, exact_dedup.keep_one(df.repartition(k)).collect()))) for k in (1, 3)]
+    assert runs[0] == runs[1]
+    got = exact_dedup.keep_one(df).collect()
+    assert sorted((r["doc_id"] or 99, r["text"].strip()) for r in got) == [(1, "ab cd"), (2, "zz yy"), (3, "q r"), (4, "mn"), (99, "only")]
+    unique = df.where("doc_id < 3")
+    assert sorted(tuple(r) for r in exact_dedup.keep_one(unique).collect()) == [(1, "ab cd", "x"), (2, "zz yy", "z")]
+
+
+def test_a_deep_directory_is_quick(spark):
+    keys = spark.range(40_000).select(F.xxhash64("id").alias("key"))
+    slots = exact_dedup.directory(keys, 2)
+    assert len(slots) == 1 << 16 and len(set(slots)) > 10_000
+
+
+def test_jaccard_links_by_null_ids_and_repeated_ids(spark):
+    rng = random.Random(4)
+    base = [f"n{rng.randrange(9000)}" for _ in range(140)]
+    variant = lambda *at: " ".join("new" if k in at else w for k, w in enumerate(base))
+    far = " ".join(f"z{k}" for k in range(60))
+    # 10 and 20 link through a text that only null ids have; 30 is an id of two texts, one of them near 40.
+    rows = [(10, variant(5)), (20, variant(40, 95)), (None, variant(40)), (None, variant(40)), (30, far), (30, "p " + far), (40, "p " + far + " q"), (None, "u v w x y z"), (None, "U v w x y z")]
+    links = lambda a, b: ngram_join.linked(ngram_join.shingles(a, 4), ngram_join.shingles(b, 4), 85)
+    assert not links(variant(5), variant(40, 95)) and links(variant(40), variant(40, 95)) and links(variant(5), variant(40))
+    df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, keep string")
+    groups = {}
+    for r in ngram_join.join(df, 4, 85).collect():
+        groups.setdefault(r["doc_id"], set()).add(r["component_id"])
+    assert groups == {10: {10}, 20: {10}, 30: {30}, 40: {30}, None: {10, None}}
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one(df, 4, 85).collect()]
+    assert len(kept) == 3 and (10, variant(5)) in kept and kept.count((None, "u v w x y z")) + kept.count((None, "U v w x y z")) == 1
