@@ -45,4 +45,20 @@ SELECT w.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(array_t
 FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id
 """
 
-ORACLES = {"op3_ngram_jaccard": JACCARD, "op4_stupid_backoff": BACKOFF, "op5_exact_dedup": EXACT, "op9_substring_dedup": SUBSTRING}
+_PIECES = "string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')"
+COLLOCATIONS = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest({_PIECES}) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM w, unnest(range(1, 6)) a(k), unnest(range(1, greatest(len(ws) - k + 2, 1))) b(i)),
+f AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, count(*) AS f FROM g GROUP BY 1, 2, 3),
+total AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT * FROM f WHERE k > 1 AND f >= 100),
+cuts AS (SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, n, j, CAST(1000 AS HUGEINT) * c.f * n // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM c JOIN unnest(range(1, 5)) s(j) ON j < c.k JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[:j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[j + 1:], ' ') JOIN total t ON t.lang = c.lang),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+kept AS (SELECT * FROM lowest o WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = o.lang AND c.f >= o.a AND length(c.phrase) > length(o.phrase) AND contains(' ' || c.phrase || ' ', ' ' || o.phrase || ' ')))
+SELECT lang, CAST(row_number() OVER b AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept WINDOW b AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER b <= 2000
+"""
+
+ORACLES = {"op11_collocations": COLLOCATIONS, "op3_ngram_jaccard": JACCARD, "op4_stupid_backoff": BACKOFF, "op5_exact_dedup": EXACT, "op9_substring_dedup": SUBSTRING}

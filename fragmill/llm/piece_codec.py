@@ -33,6 +33,7 @@ from __future__ import annotations
 import functools
 import re
 from array import array
+from math import inf
 
 import ahocorasick
 import numpy as np
@@ -79,6 +80,7 @@ class MergeModel:
         #: piece -> the longest other piece that it begins with, None if none.
         self.shorter = {self.ids[p]: next((self.ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in reached), None) for p in reached}
         self.inside = {p[i : i + 2] for p in reached for i in range(len(p) - 1)}
+        self.histories = Known(self.history)
         self.compatible = Known(self.remerged)
         joined = {c for p in self.ids if len(p) > 1 for c in p} - {MARK}
         self.cut = None
@@ -91,9 +93,39 @@ class MergeModel:
         return self.text[u] if u >= 0 else chr(-1 - u)
 
     def remerged(self, pair: tuple[int, int]) -> bool:
-        """Do the characters of two units merge to the same two?"""
-        left, right = map(self.unit, pair)
-        return left[-1] + right[0] not in self.inside or self.merged(left + right) == [left, right]
+        """Do the characters of two units merge to the same two?
+
+        Each unit's own merges are replayed side by side, the better first, the left one of equals; a merge across the
+        border that is better than what either does next would come before them.
+        """
+        if min(pair) < 0:
+            left, right = map(self.unit, pair)
+            return left[-1] + right[0] not in self.inside or self.merged(left + right) == [left, right]
+        (mine, _, ends), (other, starts, _) = self.histories[pair[0]], self.histories[pair[1]]
+        i = j = 0
+        while True:
+            across = self.scores.get(ends[i] + starts[j])
+            if across is not None and across > mine[i] and across >= other[j]:
+                return False
+            if mine[i] == other[j] == -inf:
+                return True
+            if mine[i] >= other[j]:
+                i += 1
+            else:
+                j += 1
+
+    def history(self, t: int) -> tuple[list[float], list[str], list[str]]:
+        """The scores of a piece's merges, and its first and last part before each and after all."""
+        parts, done, first, last = list(self.text[t]), [], [], []
+        while True:
+            first.append(parts[0])
+            last.append(parts[-1])
+            scores = [self.scores.get(a + b, -inf) for a, b in zip(parts, parts[1:])]
+            done.append(max(scores, default=-inf))
+            if done[-1] == -inf:
+                return done, first, last
+            i = scores.index(done[-1])
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by merging, the definition that all else must agree with."""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragmill.llm import bpe_codec, exact_dedup, html_wrapper, lm_backoff, mixing, ngram_join, piece_codec, quality_rules, secret_scan, substring_dedup, token_orc
+from fragmill.llm import bpe_codec, collocations, exact_dedup, html_wrapper, lm_backoff, mixing, ngram_join, piece_codec, quality_rules, secret_scan, substring_dedup, token_align, token_orc
 from fragmill.llm.common import documents
 from fragmill.llm.oracles import ORACLES  # noqa: F401
 
@@ -65,6 +65,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = token_align.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    counted = token_align.scores(aligned.withColumn("groups_sha256", digest).drop("groups"))
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     tokens = piece_codec.encode(documents(spark, sf_dir).select("doc_id", "text"), path)
@@ -73,4 +84,4 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("piece_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_html_wrapper, op3_ngram_jaccard, op4_stupid_backoff, op5_exact_dedup, op6_quality_rules, op7_mix_sources, op8_token_orc, op9_substring_dedup, op10_secret_scan, op13_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_html_wrapper, op3_ngram_jaccard, op4_stupid_backoff, op5_exact_dedup, op6_quality_rules, op7_mix_sources, op8_token_orc, op9_substring_dedup, op10_secret_scan, op11_collocations, op12_token_alignment, op13_sentencepiece)}
