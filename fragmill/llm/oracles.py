@@ -47,16 +47,21 @@ FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id
 
 _PIECES = "string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')"
 COLLOCATIONS = f"""
-WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest({_PIECES}) AS piece FROM documents),
-w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
-g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM w, unnest(range(1, 6)) a(k), unnest(range(1, greatest(len(ws) - k + 2, 1))) b(i)),
-f AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, count(*) AS f FROM g GROUP BY 1, 2, 3),
+WITH p AS (SELECT row_number() OVER () AS rid, lang, piece FROM (SELECT coalesce(lang, 'und') AS lang, unnest({_PIECES}) AS piece FROM documents)),
+w AS (SELECT rid, lang, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT rid, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p)),
+t AS (SELECT lang, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4, lead(w, 4) OVER o AS w5 FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)),
+f AS (SELECT lang, 1 AS k, w AS phrase, count(*) AS f FROM t GROUP BY lang, w
+  UNION ALL SELECT lang, 2, concat_ws(' ', w, w2), count(*) FROM t WHERE w2 IS NOT NULL GROUP BY lang, w, w2 HAVING count(*) >= 100
+  UNION ALL SELECT lang, 3, concat_ws(' ', w, w2, w3), count(*) FROM t WHERE w3 IS NOT NULL GROUP BY lang, w, w2, w3 HAVING count(*) >= 100
+  UNION ALL SELECT lang, 4, concat_ws(' ', w, w2, w3, w4), count(*) FROM t WHERE w4 IS NOT NULL GROUP BY lang, w, w2, w3, w4 HAVING count(*) >= 100
+  UNION ALL SELECT lang, 5, concat_ws(' ', w, w2, w3, w4, w5), count(*) FROM t WHERE w5 IS NOT NULL GROUP BY lang, w, w2, w3, w4, w5 HAVING count(*) >= 100),
 total AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY 1),
-c AS (SELECT * FROM f WHERE k > 1 AND f >= 100),
-cuts AS (SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, n, j, CAST(1000 AS HUGEINT) * c.f * n // (CAST(x.f AS HUGEINT) * y.f) AS score
-  FROM c JOIN unnest(range(1, 5)) s(j) ON j < c.k JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[:j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[j + 1:], ' ') JOIN total t ON t.lang = c.lang),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cut AS (SELECT lang, phrase, f AS a, j, array_to_string(ws[:j], ' ') AS x, array_to_string(ws[j + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+cuts AS (SELECT cut.lang, cut.phrase, a, x.f AS l, y.f AS r, n, j, CAST(1000 AS HUGEINT) * a * n // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = cut.x JOIN f y ON y.lang = cut.lang AND y.phrase = cut.y JOIN total t ON t.lang = cut.lang),
 lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
-kept AS (SELECT * FROM lowest o WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = o.lang AND c.f >= o.a AND length(c.phrase) > length(o.phrase) AND contains(' ' || c.phrase || ' ', ' ' || o.phrase || ' ')))
+kept AS (SELECT * FROM lowest o WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = o.lang AND 100 * c.f >= 100 * o.a AND length(c.phrase) > length(o.phrase) AND contains(' ' || c.phrase || ' ', ' ' || o.phrase || ' ')))
 SELECT lang, CAST(row_number() OVER b AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
 FROM kept WINDOW b AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER b <= 2000
 """
