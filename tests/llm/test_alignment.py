@@ -40,12 +40,13 @@ def brute():
         if b"".join(raw_a) != f" {text}".encode() or b"".join(raw_b) != f" {text}".encode():
             return [], [], []
         ends_a, ends_b = [*accumulate(map(len, raw_a))], [*accumulate(map(len, raw_b))]
-        groups, i, j = [], 0, 0
-        for end in sorted(set(ends_a) & set(ends_b)):
-            p, q = ends_a.index(end) + 1, ends_b.index(end) + 1
-            groups.append((x.ids[i:p], y[j:q]))
+        at_a, at_b = ({end: k for k, end in enumerate(ends, 1)} for ends in (ends_a, ends_b))
+        ids, groups, i, j = x.ids, [], 0, 0
+        for end in sorted(at_a.keys() & at_b.keys()):
+            p, q = at_a[end], at_b[end]
+            groups.append((ids[i:p], y[j:q]))
             i, j = p, q
-        return x.ids, y, groups
+        return ids, y, groups
 
     return one
 
