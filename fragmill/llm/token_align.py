@@ -27,6 +27,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
@@ -43,6 +44,8 @@ from fragmill.llm.token_orc import Known, byte_alphabet
 BROADCAST = 2_000_000
 #: Characters of a stretch up to which its alignment is remembered.
 SHORT = 100
+#: Stretches that are encoded together.
+TOGETHER = 5_000
 #: Characters that A takes at once, if there is a safe place to cut.
 LONG = 50_000
 _BORDER = re.compile(rf".*?[^\s{MARK}](?= )|.+", re.S)
@@ -88,6 +91,8 @@ class Aligner:
         #: Stretches may only be cut where B can be.
         self.cuts = self.b.cut is not None
         self.known = Known(self.aligned)
+        #: Ids of stretches that are not known yet, encoded together.
+        self.encoded: dict[str, tuple[list[int], list[int]]] = {}
 
     def a_ids(self, text: str) -> list[int]:
         ids, at = [], 0
@@ -97,12 +102,22 @@ class Aligner:
         return ids + self.a.encode(text[at:], add_special_tokens=False).ids
 
     def b_ids(self, text: str) -> list[int]:
-        """Of a text that begins with B's space."""
-        return np.frombuffer(self.b.encode_normal(text.replace(" ", MARK)), np.int32).tolist()
+        """Of a text that begins with B's space, which the library puts there itself, but not before nothing."""
+        if text != " ":
+            return self.b.library.encode(text[1:])
+        return np.frombuffer(self.b.encode_normal(MARK), np.int32).tolist()
+
+    def encode_together(self, stretches: list[str]) -> None:
+        """Encode the short ones that are not known yet by one call of each library."""
+        known = self.known
+        new = [x for x in dict.fromkeys(stretches) if 1 < len(x) <= SHORT and x not in known and x not in known.before]
+        a = self.a.encode_batch_fast(new, add_special_tokens=False)
+        b = self.b.library.encode([x[1:] for x in new], num_threads=1)
+        self.encoded = {x: (i.ids, j) for x, i, j in zip(new, a, b)}
 
     def aligned(self, text: str) -> tuple[int, int, bytes, bytes, bool]:
         """Numbers of A and B tokens, groups as text, links as packed longs, and whether both give the bytes back."""
-        a, b = self.a_ids(text), self.b_ids(text)
+        a, b = self.encoded.get(text) or (self.a_ids(text), self.b_ids(text))
         a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes.get(i, b"") for i in b]
         raw = text.encode()
         if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
@@ -112,14 +127,18 @@ class Aligner:
             groups.append(f"{','.join(map(str, a[i : x + 1]))}|{','.join(map(str, b[j : y + 1]))}")
             links.append(a[x] << 32 | b[y])
             i, j = x + 1, y + 1
-        return len(a), len(b), ";".join(groups).encode(), np.array(links, "<i8").tobytes(), True
+        return len(a), len(b), ";".join(groups).encode(), array("q", links).tobytes(), True
 
     def document(self, text: str):
         """Numbers of tokens, groups as text, and links of a whole text."""
         if not text:
             return 0, 0, b"", b""
         known, whole = self.known, f" {text}"
-        found = [known[s] if len(s) <= SHORT else self.aligned(s) for s in (_BORDER.findall(whole) if self.cuts else [whole])]
+        stretches, found = _BORDER.findall(whole) if self.cuts else [whole], []
+        for at in range(0, len(stretches), TOGETHER):
+            some = stretches[at : at + TOGETHER]
+            self.encode_together(some)
+            found += [known[s] if len(s) <= SHORT else self.aligned(s) for s in some]
         if not all(x[4] for x in found):
             return 0, 0, b"", b""
         return sum(x[0] for x in found), sum(x[1] for x in found), b";".join([x[2] for x in found]), b"".join([x[3] for x in found])
