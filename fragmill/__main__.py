@@ -18,12 +18,13 @@ def main(argv: list[str] | None = None) -> float | None:
     p.add_argument("--eval-n", type=int, help="test so many strings only")
     p.add_argument("--vocab-size", type=int, default=1000, help="ids in all, bytes and special ones included")
     p.add_argument("--shuffle", action="store_true", help="put each string's fragments in a random order, and compare them as a set")
+    p.add_argument("--compare", choices=["molecules", "strings"], default="molecules", help="what has to come back: the molecule, or the encoder's very string")
     p.add_argument("--failures", help="folder for a CSV of strings that come back changed")
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     rows = from_csv(spark, a.csv).withColumn("mol_id", F.monotonically_increasing_id())
     tested = rows if a.eval_n is None else first_rows(rows, a.eval_n)
-    table, failed = run_tested(first_rows(rows, a.train_n), tested, a.vocab_size, a.shuffle, a.failures)
+    table, failed = run_tested(first_rows(rows, a.train_n), tested, a.vocab_size, a.shuffle, a.failures, a.compare)
     found = table.first()
     print(f"{found['n_ok']} of {found['n']} round trips, accuracy {found['accuracy']}")
     for row in first_failures(failed, "mol_id").collect():  # ten rows

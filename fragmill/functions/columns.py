@@ -62,9 +62,15 @@ def _molecule(text):
     return None if m is None else as_struct(m)
 
 
-def parse_smiles(smiles: Column | str) -> Column:
-    """Atoms and bonds as a struct of arrays of structs; null for what is no molecule."""
-    return _molecule(F.col(smiles) if isinstance(smiles, str) else smiles)
+_molecule_once = F.udf(_molecule.func, MOLECULE, useArrow=True).asNondeterministic()
+
+
+def parse_smiles(smiles: Column | str, once: bool = False) -> Column:
+    """Atoms and bonds as a struct of arrays of structs; null for what is no molecule.
+
+    ``once``: the optimiser may not copy the call into each expression that reads its result.
+    """
+    return (_molecule_once if once else _molecule)(F.col(smiles) if isinstance(smiles, str) else smiles)
 
 
 @F.pandas_udf(T.BooleanType())

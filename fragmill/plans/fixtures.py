@@ -131,6 +131,43 @@ RULES: list[tuple[str, str, str]] = [
     ("carbo_ring_c", "arom_c_ring", "C1CCCC1c1ccccc1"),
     ("arom_c_ring", "arom_c_ring", "c1ccc(-c2ccccc2)cc1"),
 ]
+# Two strings, and whether they are one molecule; derived by hand, as noted.
+SAME: list[tuple[str, str, bool]] = [
+    ("OCC", "C(O)C", True),  # renumbered
+    ("CCO", "CCN", False),  # another element
+    ("CCO", "COC", False),  # same atoms, other bonds
+    ("CC(C)CO", "OCC(C)C", True),
+    ("CCC(C)O", "CC(C)CO", False),
+    ("C1CCCCC1", "C1CC1.C1CC1", False),  # all atoms alike: colours don't decide
+    ("C1CCC2CCCCC2C1", "C12CCCCC1CCCC2", True),
+    ("C1CCC2CCCCC2C1", "C1CCC(C1)C1CCCC1", False),  # decalin, bicyclopentyl
+    ("c1ccccc1-c1ccccc1", "C(c1ccccc1)c1ccccc1", False),  # a carbon between the rings
+    ("c1ccccc1-c1ccccc1", "c12ccccc1.c12ccccc1", True),  # a closure joins the rings
+    ("[Cl-].[Na+]", "[Na+].[Cl-]", True),
+    ("[Cl-].[Na+]", "[Na+].Cl", False),  # another charge, and a hydrogen
+    ("[CH4]", "C", True),  # written and implied hydrogens
+    ("[13CH3]C", "C[13CH3]", True),
+    ("[13CH3]C", "CC", False),
+    ("C[CH2:1]O", "CCO", True),  # maps are no part of a molecule
+    ("[nH]1cccc1", "c1cc[nH]c1", True),
+    ("CC=CC", "CC#CC", False),
+    ("N[C@@H](C)C(=O)O", "OC(=O)[C@@H](N)C", True),  # from N: H, C, COOH clockwise; two swaps of neighbours
+    ("N[C@@H](C)C(=O)O", "N[C@H](C)C(=O)O", False),  # the mirror image
+    ("N[C@@H](C)C(=O)O", "N[C@H](C(=O)O)C", True),  # one swap, other mark
+    ("C[C@@](F)(Cl)Br", "C[C@](F)(Br)Cl", True),
+    ("F/C=C/F", "F\\C=C\\F", True),  # opposite sides, both ways of writing
+    ("F/C=C/F", "F/C=C\\F", False),
+    ("F/C=C/F", "C(\\F)=C/F", True),  # the first neighbour written behind its atom
+    ("F/C=C/F", "FC=CF", False),  # marks lost
+    ("C[C@H]1CC[C@@H](C)CC1", "C[C@@H]1CC[C@H](C)CC1", True),  # both centres turned: a mirror plane
+    ("C[C@H]1CC[C@@H](C)CC1", "C[C@H]1CC[C@H](C)CC1", False),  # cis and trans
+]
+# Strings whose encoded form is no longer the molecule, and why; of all strings above.
+CHANGED: list[str] = [
+    "*C",  # the dummy is written with a label, which reads as an isotope
+    "CSi",  # silicon has to be written in brackets, and then has no implied hydrogens
+    "C1C1",  # the second bond between two atoms is lost, and with it one end of the closure
+]
 
 
 def molecules(spark: SparkSession) -> DataFrame:

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from fragmill.functions import cleavage, graph
 from fragmill.functions.columns import is_valid_smiles, safe_encode, safe_fragments, write_smiles
-from fragmill.operators import assembly, molecules
+from fragmill.operators import assembly, isomorphism, molecules
 from fragmill.operators import tokens as tk
 from fragmill.plans import evaluate
-from fragmill.plans.fixtures import ACCEPTED, MARKED, MOLECULES, REJECTED, RULES, SCAFFOLDS, WRITTEN, values
+from fragmill.plans.fixtures import ACCEPTED, CHANGED, MARKED, MOLECULES, REJECTED, RULES, SAME, SCAFFOLDS, WRITTEN, values
 from fragmill.plans.fixtures import molecules as fixture
 from fragmill.plans.model import FragmentTokenizer
 from fragmill.plans.trainer import BpeTrainer, train_from_iterator, weighted_fragments
@@ -422,6 +422,24 @@ def roundtrip_accuracy(spark, sf_dir):
     return evaluate.accuracy(evaluate.round_trips(rows, MODEL))
 
 
+@query(_sql("orders", "o_orderkey", SAME, "one, other, same", "o_orderkey, same"))
+def same_molecule(spark, sf_dir):
+    """Renumbered and changed molecules, told apart by their graphs; each pair of strings once."""
+    rows = keyed(spark, sf_dir, "orders", "o_orderkey", [s[:2] for s in SAME], "one string, other string")
+    pairs = isomorphism.same_molecules(rows.select("one", "other").distinct(), "one", "other")
+    return rows.join(F.broadcast(pairs), ["one", "other"]).select("o_orderkey", "same")  # at most the fixture's pairs
+
+
+_TRIPS = [(m[0],) for m in MOLECULES] + [(m[0],) for m in MARKED]
+
+
+@query(_sql("orders", "o_orderkey", [(s, s not in CHANGED) for (s,) in _TRIPS], "smiles, ok", "count(*) AS n, sum(ok::INT)::BIGINT AS n_ok, avg(ok::INT) AS accuracy"))
+def molecule_accuracy(spark, sf_dir):
+    """How many molecules come back from encoding and decoding as the molecules they were?"""
+    rows = keyed(spark, sf_dir, "orders", "o_orderkey", _TRIPS, "smiles string")
+    return evaluate.accuracy(evaluate.round_trips(rows, MODEL, compare="molecules"))
+
+
 _READER = FragmentTokenizer(MODEL.merges, ["tap", "view", "purchase"])
 
 
@@ -455,7 +473,7 @@ def command_line(spark, sf_dir):
 
     path = shared_file(spark, "strings")
     spark.createDataFrame([(m[0],) for m in MOLECULES if m[0]], "smiles string").coalesce(1).write.csv(path, header=True)
-    return spark.createDataFrame([(main([path, "--train-n", "10", "--vocab-size", "270"]),)], "accuracy double")
+    return spark.createDataFrame([(main([path, "--train-n", "10", "--vocab-size", "270", "--compare", "strings"]),)], "accuracy double")
 
 
 @query(_sql("customer", "c_custkey", _GOLD, "smiles, safe", "c_custkey, safe"))
