@@ -330,6 +330,12 @@ def bpe_train_8(spark, sf_dir):
     return BpeTrainer(269, "p_name").fit(table(spark, sf_dir, "part")).merges_table(spark)
 
 
+@query(_training_sql(12))
+def bpe_train_incremental(spark, sf_dir):
+    """Twelve merges over part names by rounds on Spark, which read and rewrite what their merges touch."""
+    return BpeTrainer(273, "p_name", local_limit=0).fit(table(spark, sf_dir, "part")).merges_table(spark)
+
+
 @query(_training_sql(4).replace("FROM part", "FROM (SELECT n_name AS p_name FROM nation)"))
 def bpe_train_iterator(spark, sf_dir):
     """Four merges over the nations' names, by an iterator."""

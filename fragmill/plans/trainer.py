@@ -2,8 +2,7 @@
 
 Strings become fragments, fragments become a weighted table (one shuffle, counted before it).
 If that table is small it is collected, at most ``local_limit`` rows, and merged with pair counts
-kept up to date; else each step is a distributed count, a top-1 and a replacement, and the
-words are written out every few steps to bound the lineage.
+kept up to date; else rounds on Spark read and rewrite only the words that their merges touch (``incremental``).
 """
 
 from __future__ import annotations
@@ -17,8 +16,8 @@ from pyspark.sql import functions as F
 
 from fragmill.functions.columns import safe_fragments
 from fragmill.operators import tokens as tk
+from fragmill.plans.incremental import learn_incremental
 from fragmill.plans.model import SPECIAL, FragmentTokenizer
-from fragmill.sources.shared import checkpointed
 
 
 def merges_wanted(vocab_size: int) -> int:
@@ -82,20 +81,9 @@ def learn(counts: Iterable[tuple[str, int]], n_merges: int) -> list[tuple[int, i
     return merges
 
 
-def learn_distributed(counts: DataFrame, n_merges: int, every: int = 10) -> list[tuple[int, int]]:
-    """The same merges by DataFrame steps; counts(fragment, n)."""
-    words = checkpointed(counts.select(tk.byte_word(F.col("fragment")).alias("word"), F.col("n").alias("n")))
-    merges: list[tuple[int, int]] = []
-    while len(merges) < n_merges:
-        best = tk.best_pair(tk.pair_counts(words)).first()  # one row
-        if best is None:
-            break
-        left, right = map(tk.token, best["pair"])
-        words = words.withColumn("word", tk.merged(F.col("word"), left, right, 256 + len(merges)))
-        merges.append((left, right))
-        if len(merges) % every == 0:
-            words = checkpointed(words)
-    return merges
+def learn_distributed(counts: DataFrame, n_merges: int, every: int = 20) -> list[tuple[int, int]]:
+    """The same merges on Spark; counts(fragment, n).  Rounds read what their merges touch (plans.incremental)."""
+    return learn_incremental(counts, n_merges, every)
 
 
 class BpeTrainer:

@@ -26,3 +26,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The table written once to the shared folder; its lineage ends there."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that nothing reads any more."""
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
