@@ -5,7 +5,8 @@ whose concatenation is the piece with the highest score, the leftmost such pair
 are found here without a queue of merges, by backtracking:
 
 * Aho-Corasick automata give longest matches: one over the pieces those that follow each other, and, where
-  these don't do, one over the reversed pieces the longest at each place in a pass over the reversed text.
+  these don't do, the longest at a place is looked up in its trie; in long segments one over the reversed pieces gives
+  the longest at each place in a pass over the reversed text.
   Shorter ones follow by a table of each piece's prefixes.
 * A sequence of pieces is the model's if and only if each two neighbours are compatible: merging their
   characters anew gives the same two.  (The first merge across a border of the sequence would also
@@ -70,6 +71,7 @@ class MergeModel:
         self.byte_fallback = all(sp.is_byte(i) for i in self.bytes)
         # A piece that its own characters don't merge to is never in a result.
         reached = {p for p in self.ids if len(p) == 1 or self.merged(p) == [p]}
+        self.reached = {p: self.ids[p] for p in reached}
         self.size = {self.ids[p]: len(p) for p in reached}
         self.forward, self.reversed = ahocorasick.Automaton(ahocorasick.STORE_INTS), ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for p in reached:
@@ -102,6 +104,8 @@ class MergeModel:
             left, right = map(self.unit, pair)
             return left[-1] + right[0] not in self.inside or self.merged(left + right) == [left, right]
         (mine, _, ends), (other, starts, _) = self.histories[pair[0]], self.histories[pair[1]]
+        if ends[0] + starts[0] not in self.inside:  # no piece has the two characters at the border side by side
+            return True
         i = j = 0
         while True:
             across = self.scores.get(ends[i] + starts[j])
@@ -141,6 +145,14 @@ class MergeModel:
                 scores[i] = self.scores.get(parts[i] + parts[i + 1])
         return parts
 
+    def longest_at(self, text: str, at: int) -> int:
+        """The longest piece that starts at one place; -1 if there is none."""
+        rest, reached = text[at:], self.reached
+        for k in range(self.forward.longest_prefix(rest), 0, -1):
+            if (t := reached.get(rest[:k])) is not None:
+                return t
+        return -1
+
     def longest(self, text: str) -> array:
         """The longest piece that starts at each place; -1 where there is none."""
         out, last, size = array("i", [-1]) * len(text), len(text) - 1, self.size
@@ -162,12 +174,12 @@ class MergeModel:
             at, before = end + 1, t
         if at == n:
             return taken
-        longest = self.longest(text)
+        longest = self.longest(text) if n > SHORT else None
         failed = bytearray(n // 8 + 1)  # a bit for each place
         t = None
         while at < n:
             if t is None:
-                t = longest[at]
+                t = self.longest_at(text, at) if longest is None else longest[at]
                 if t < 0:
                     t = -1 - ord(text[at])
             while t is not None:
