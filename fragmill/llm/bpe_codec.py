@@ -10,6 +10,8 @@ across such a place, and its only look-ahead asks about what follows white space
 never the last character of a segment.  A segment that is still long (no white space at all)
 is split match by match, so each piece goes to the merges on its own.
 
+A text that a batch holds several times, as a mix of epochs does, is encoded and decoded once in that batch.
+
 Defined results: null or empty text -> no ids; ids of null -> empty bytes; repeated rows are
 kept; ids outside the vocabulary raise; other columns pass through, and a column that already
 has the output's name is replaced.
@@ -86,12 +88,13 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
         enc = codec(rank_file, pattern)
         for batch in pieces(batches):
             texts = batch.column(batch.schema.get_field_index(text_col))
-            lengths, parts = [0], []
-            for t in texts:
-                s = t.as_py()
-                ids = encode_text(enc, s) if s else []
+            lengths, parts, known = [0], [], {None: np.zeros(0, np.int32), "": np.zeros(0, np.int32)}
+            for s in texts.to_pylist():
+                ids = known.get(s)
+                if ids is None:
+                    ids = known[s] = np.array(encode_text(enc, s), np.int32)
                 lengths.append(len(ids))
-                parts.append(np.array(ids, np.int32))
+                parts.append(ids)
             ids = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(np.concatenate(parts or [np.zeros(0, np.int32)])))
             yield _with(batch, to, ids)
 
@@ -104,7 +107,15 @@ def decode(tokens: DataFrame, rank_file: str, pattern: str, ids_col: str = "toke
     def run(batches):
         enc = codec(rank_file, pattern)
         for batch in pieces(batches):
-            rows = batch.column(batch.schema.get_field_index(ids_col))
-            yield _with(batch, to, pa.array([enc.decode_bytes(r.values.to_pylist()) if r.is_valid and len(r.values) else b"" for r in rows], pa.binary()))
+            rows, known = batch.column(batch.schema.get_field_index(ids_col)), {}
+            out = []
+            for r in rows:
+                ids = r.values.to_numpy(zero_copy_only=False) if r.is_valid else np.zeros(0, np.int32)
+                key = ids.tobytes()
+                text = known.get(key)
+                if text is None:
+                    text = known[key] = enc.decode_bytes(ids.tolist())
+                out.append(text)
+            yield _with(batch, to, pa.array(out, pa.binary()))
 
     return tokens.mapInArrow(trimmed(run), _schema(tokens, to, T.BinaryType()))

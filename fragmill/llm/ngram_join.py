@@ -7,9 +7,10 @@ difference by k.  The feature domain is hashed into partitions and subsets of pa
 enumerated so that sets within k agree on one subset at least:
 
 * k <= 3: k + 2 partitions, each subset of two of them (the pigeonholes left by k differences);
-* larger k: k + 1 + e partitions, each alone; at least 1 + e of them agree.  Partitions that
-  are empty in a set are signed only if the set has more than e of those, as any pair that
-  shares just empty ones shows at least 1 + e of them on both sides.
+* larger k: k + 1 + e partitions, each alone; at least 1 + e of them agree.  A set signs all but its e
+  lowest partitions, in order of the shingles they hold, then of their numbers.  What agrees has the same
+  order in both sets, so the highest of the 1 + e is among the e lowest of neither.  Partitions of one
+  shingle, which sets share by chance the more often the more sets there are, are so left out mostly.
 
 A signature is the 64-bit sum of a subset's hashed shingles.  So no link can be missed.
 
@@ -35,35 +36,89 @@ from __future__ import annotations
 
 import functools
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragmill.llm.common import WordHashes, drop_shared, fresh, hash_words, mix, pieces, release_shuffles, sequence_hashes, shared_table, trimmed
+from fragmill.llm.common import _ODD, drop_shared, fresh, mix, pieces, release_shuffles, sequence_hashes, shared_table, trimmed
 from fragmill.llm.components import components
 
 #: Bins of the histograms that bound a difference from below, at least.
 BINS = 64
 #: Classes of a bucket that one block of the full comparison holds, and partners of one salt.
 BLOCK, SALT = 1024, 256
+#: Rows of a block up to which its pairs are taken one by one.
+FEW = 12
 #: Pairs of the full comparison that a batch holds.
 PAIRS = 50_000
+#: Bytes of texts that are hashed together.
+TOGETHER = 1_000_000
+#: One partition is spare for so many differences.
+SPARE = 5
 #: Signatures of a class that tell whether an earlier bucket has compared a pair.
 FIRSTS = 24
 
-_MEMO = WordHashes()
+#: Bytes of a word beyond which it is hashed by itself.
+LONG_WORD = 64
+
 _U = np.uint64
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Masks of the first n of eight bytes.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def shingles(text: str | bytes | None, words: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a whole text."""
-    raw = text.encode() if isinstance(text, str) else text or b""
-    split = raw.lower().split()
-    if not split:
-        return np.zeros(0, np.uint64)
-    return np.unique(sequence_hashes(hash_words(split, _MEMO), min(words, len(split))))
+    return next(shingle_sets(pa.array([text.encode() if isinstance(text, str) else text], pa.binary()), words))
+
+
+def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """``shingles`` of each text of a column, hashed together, some texts at a time."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + TOGETHER, "right")) - 1)
+        bounds = offsets[at : end + 1] - offsets[at]
+        raw = np.concatenate([_LOWER[data[offsets[at] : offsets[end]]], np.zeros(8, np.uint8)])
+        inside = np.concatenate([[False], ~_SPACES[raw[:-8]], [False]])
+        opens, closes = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+        filled = bounds[:-1][bounds[1:] > bounds[:-1]]  # no word goes on in the next text
+        opens[filled], closes[filled[1:] - 1] = inside[1 + filled], inside[filled[1:]]
+        start, stop = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        h = _word_hashes(raw, start, stop)
+        every, of = sequence_hashes(h, words), np.searchsorted(start, bounds).tolist()
+        for a, b in zip(of, of[1:]):
+            yield distinct(every[a : b - words + 1] if b - a >= words else sequence_hashes(h[a:b], max(1, b - a)))
+        at = end
+
+
+def _word_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words raw[start:stop], eight bytes after eight; ``raw`` has eight bytes more.  Long words by themselves."""
+    size = stop - start
+    eights = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    h = mix(size.astype(np.uint64))
+    for k in range(0, min(int(size.max(initial=0)), LONG_WORD), 8):
+        i = np.flatnonzero(size > k)
+        h[i] = mix(h[i] * _ODD + (eights[start[i] + k] & _FIRST[np.minimum(size[i] - k, 8)]))
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = xxhash.xxh64_intdigest(raw[start[i] : stop[i]].tobytes())
+    return h
+
+
+def distinct(s: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; np.unique hashes integers, which takes longer than sorting them."""
+    s = np.sort(s)
+    return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
 
 
 def fingerprint(s: np.ndarray) -> int:
@@ -102,10 +157,10 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
             i, j = np.array(list(itertools.combinations(range(k + 2), 2))).T
             cells = sums[i] * _U(3) + mix(sums[j])
         else:
-            spare = 0 if k < 8 else 1 + k // 50
+            spare = max(1, k // SPARE)
             sums, filled = _cells(hashed, k + 1 + spare)
-            keep = filled > 0 if np.count_nonzero(filled == 0) <= spare else slice(None)
-            out.append(mix(sums + mix(np.arange(len(sums), dtype=np.uint64) + _U(tag << 32)))[keep])
+            keep = np.argsort(filled, kind="stable")[spare:]
+            out.append(mix(sums[keep] + mix(keep.astype(np.uint64) + _U(tag << 32))))
             continue
         out.append(mix(cells + mix(np.arange(len(cells), dtype=np.uint64) + _U(tag << 32))))
     return np.concatenate(out)
@@ -151,8 +206,7 @@ def _signed(words: int, percent: int):
         for batch in pieces(batches):
             ids = batch.column(0)
             seen, sizes, fps, sigs, owners = set(), [], [], [], []
-            for t in batch.column(1).cast(pa.binary()):
-                s = shingles(t.as_py(), words)
+            for s in shingle_sets(batch.column(1), words):
                 fp = fingerprint(s) if len(s) else None
                 sizes.append(len(s))
                 fps.append(fp)
@@ -231,8 +285,7 @@ def _verified(words: int, percent: int):
         for batch in pieces(batches):
             out = []
             leader, salt, kind, fp = (batch.column(i).to_pylist() for i in range(4))
-            for i, t in enumerate(batch.column(4).cast(pa.binary())):
-                s = shingles(t.as_py(), words)
+            for i, s in enumerate(shingle_sets(batch.column(4), words)):
                 if kind[i] == 0:
                     now, own = (leader[i], salt[i]), s
                 elif now == (leader[i], salt[i]) and linked(own, s, percent):
@@ -284,8 +337,29 @@ def _across(percent: int):
     a pair that shares a smaller one than the bucket's is left to that bucket.
     """
 
+    def few_pairs(sig, rows):
+        """``pairs`` of a small block: histograms, which cost most, come last."""
+        smaller, a, b = [{s for s in r[5] if s < sig} for r in rows], [], []
+        for i, (side, fp, root, size, bins, _) in enumerate(rows):
+            if side == 1:
+                continue
+            for j, (other, fp_j, root_j, size_j, bins_j, _) in enumerate(rows):
+                if other == 0 or root_j == root or (side == 2 and fp_j <= fp):
+                    continue
+                if min(size, size_j) * 100 < max(size, size_j) * percent or not smaller[i].isdisjoint(smaller[j]):
+                    continue
+                k = min(len(bins), len(bins_j))
+                if int(np.abs(folded(bins, k) - folded(bins_j, k)).sum()) <= difference(size + size_j, percent):
+                    a.append(min(fp, fp_j))
+                    b.append(max(fp, fp_j))
+        if a:
+            yield np.array(a), np.array(b)
+
     def pairs(sig, rows):
         """Arrays (a, b) of the pairs of a block, some rows of it at a time."""
+        if len(rows) <= FEW:
+            yield from few_pairs(sig, rows)
+            return
         side, fp, root, size = (np.array([r[k] for r in rows]) for k in range(4))
         few = min(len(r[4]) for r in rows)
         bins = np.array([folded(r[4], few) for r in rows])
@@ -404,9 +478,8 @@ def _own_text(words: int):
     def run(batches):
         for batch in pieces(batches):
             seen, keep, size, bins = set(), [], [], []
-            for fp, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                s = shingles(t.as_py(), words) if fp not in seen else ()
-                ok = bool(len(s)) and fingerprint(s) == fp
+            for fp, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), words)):
+                ok = fp not in seen and bool(len(s)) and fingerprint(s) == fp
                 keep.append(ok)
                 if ok:
                     seen.add(fp)

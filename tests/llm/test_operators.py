@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import html
+import itertools
 import math
 import random
 import re
@@ -10,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -742,3 +744,56 @@ def test_jaccard_links_by_null_ids_and_repeated_ids(spark):
     assert groups == {10: {10}, 20: {10}, 30: {30}, 40: {30}, None: {10, None}}
     kept = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one(df, 4, 85).collect()]
     assert len(kept) == 3 and (10, variant(5)) in kept and kept.count((None, "u v w x y z")) + kept.count((None, "U v w x y z")) == 1
+
+
+def test_few_sets_share_signatures_by_chance():
+    """Sets that have a tenth of their shingles from a small common stock are far from linked."""
+    rng = np.random.default_rng(3)
+    stock = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(stock, 20, replace=False), rng.integers(0, 1 << 63, 180, dtype=np.uint64)])) for _ in range(400)]
+    signed = np.concatenate([np.unique(ngram_join.signatures(s, 80)) for s in sets])
+    _, times = np.unique(signed, return_counts=True)
+    assert times[times > 1].sum() < 0.01 * len(signed)
+
+
+def test_shingles_of_a_column_are_those_of_its_texts():
+    texts = ["", " ", "a", " A  b\tC\n", "\x0ba\x0cb\r", "x\x1cy z", "É é x y", "a b c d", "a b c d a b c d", "w" * 64, "w" * 65 + " v", "abcdefgh abcdefghi", "z" * 3000, "q r"]
+    texts += [" ".join(f"w{i % 7}" for i in range(n)) for n in range(30)]
+    column = pa.array([None, *texts])
+    for words in (1, 4, 5):
+        got = list(ngram_join.shingle_sets(column.slice(1), words))
+        split = [t.encode().lower().split() for t in texts]
+        want = [{tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set() for w in split]
+        assert [len(s) for s in got] == [len(s) for s in want]
+        assert all(np.array_equal(s, ngram_join.shingles(t, words)) for s, t in zip(got, texts))
+        for i, j in itertools.combinations(range(len(texts)), 2):
+            assert len(np.intersect1d(got[i], got[j])) == len(want[i] & want[j])
+
+
+def test_a_text_is_encoded_once_in_a_batch(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(bpe_codec, "encode_text", lambda enc, t: calls.append(t) or enc.encode_ordinary(t))
+    df = spark.createDataFrame([("a b",), (None,), ("a b",), ("",), ("c",), ("a b",)], "text string")
+    run = {}
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: run.setdefault("f", f))
+    bpe_codec.encode(df, RANKS, PATTERN)
+    out = list(run["f"]([pa.RecordBatch.from_arrays([pa.array(["a b", None, "a b", "", "c", "a b"])], names=["text"])]))[0]
+    enc = bpe_codec.codec(RANKS, PATTERN)
+    assert out.column(1).to_pylist() == [enc.encode_ordinary(t) if t else [] for t in ("a b", None, "a b", "", "c", "a b")]
+    assert calls == ["a b", "c"]
+
+
+def test_small_blocks_give_the_pairs_of_large_ones(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 63, 250, dtype=np.uint64))
+    rows = []
+    for sig in range(40):
+        for fp in range(int(rng.integers(2, 9))):
+            s = base[rng.random(len(base)) < rng.choice([0.8, 0.9, 0.97])]
+            rows.append((sig, 0, sig % 2, int(rng.integers(0, 2)) if sig % 2 else 2, fp, int(rng.integers(0, 4)), len(s), ngram_join.histogram(s), [sig - 1, sig] if rng.random() < 0.4 else [sig]))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=list("abcdefghi"))
+    found = []
+    for few in (0, 12):
+        monkeypatch.setattr(ngram_join, "FEW", few)
+        found.append(sorted(p for x in ngram_join._across(80)([batch]) for p in zip(*(c.to_pylist() for c in x.columns))))
+    assert found[0] == found[1] and len(found[0]) > 50
