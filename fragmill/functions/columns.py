@@ -20,9 +20,16 @@ BOND = _struct(a=_INT, b=_INT, kind=_INT, stereo=_INT, in_ring=_BOOL)
 MOLECULE = _struct(atoms=T.ArrayType(ATOM), bonds=T.ArrayType(BOND))
 
 
+def _each(s: pd.Series, f) -> pd.Series:
+    """``f`` of each string; one that an Arrow batch holds several times goes through ``f`` once."""
+    codes, strings = pd.factorize(s)
+    out = [*map(f, strings), f(None)]  # nulls have the code -1
+    return pd.Series([out[i] for i in codes], dtype=object)
+
+
 @F.pandas_udf(T.StringType())
 def _encode(s: pd.Series) -> pd.Series:
-    return s.map(safe.encode_or_none)
+    return _each(s, safe.encode_or_none)
 
 
 def safe_encode(smiles: Column | str, strict: bool = False) -> Column:
@@ -75,7 +82,7 @@ def parse_smiles(smiles: Column | str, once: bool = False) -> Column:
 
 @F.pandas_udf(T.BooleanType())
 def _valid(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else _parsed(t) is not None)
+    return _each(s, lambda t: None if t is None else _parsed(t) is not None)
 
 
 def is_valid_smiles(smiles: Column | str) -> Column:
@@ -88,7 +95,7 @@ def _scaffold(s: pd.Series) -> pd.Series:
         m = _parsed(text)
         return None if m is None else safe.scaffold(m)[0]
 
-    return s.map(one)
+    return _each(s, one)
 
 
 def scaffold(smiles: Column | str) -> Column:
@@ -104,7 +111,7 @@ def _written(s: pd.Series) -> pd.Series:
         m = _parsed(text)
         return None if m is None else write(m)
 
-    return s.map(one)
+    return _each(s, one)
 
 
 def write_smiles(smiles: Column | str) -> Column:

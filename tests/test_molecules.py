@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,12 @@ def test_api(spark):
     batch = ["CCO", "C1CCC", "CCCOCC"]
     assert encode_batch(batch, n_jobs=2, spark=spark) == ["CCO", None, "CCC1.O12.C2C"]
     assert encode_batch([], spark=spark) == []
+
+
+def test_a_string_is_encoded_once_in_a_batch():
+    from fragmill.functions import columns
+
+    calls = []
+    got = columns._each(pd.Series(["CCO", None, "C1", "CCO", "", "C1"]), lambda t: calls.append(t) or safe.encode_or_none(t))
+    assert got.tolist() == ["CCO", None, None, "CCO", "", None]
+    assert sorted(calls, key=str) == ["", "C1", "CCO", None]
