@@ -10,7 +10,9 @@ occurrence of an n-gram is thus counted in one fragment, and all of an n-gram's
 * Words below ``least`` occurrences are in no candidate, so they cut fragments like punctuation.
 * The word list that tasks look words up in has the most frequent ``listed`` words; beyond them any fixed order is
   right (here that of the words' bytes), since it only decides where an n-gram is counted.  Results don't depend on it.
-* A pivot of more than ``split`` occurrences is dealt to several tasks, whose counts are added afterwards.
+* Pivots travel by buckets, as many as the shuffle has use for: a shuffled row holds fragments of all pivots of a bucket, and
+  each names its pivot by its place.
+* A pivot of more than ``split`` occurrences is dealt to several buckets, whose counts are added afterwards.
 * Memory is bounded: counts kept by a task are emitted as partial counts beyond a fixed number.
 
 Scores are joins of the table of phrases with itself, by first part and by rest, in exact decimals.
@@ -33,6 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fragmill.llm.common import pieces, shared_table, trimmed
+from fragmill.llm.token_orc import Known
 
 #: Words of a phrase at most.
 LONGEST = 5
@@ -42,6 +45,8 @@ LISTED = 500_000
 SPLIT = 300_000
 #: Counts that a task keeps at once.
 KEPT = 300_000
+#: Buckets of pivots to a shuffle partition.
+BUCKETS = 20
 #: Bytes of fragments in a shuffled row.
 ROW = 4_000
 _PARTS = re.compile(rb"[^\x20\x09-\x0D.,;:!?]+|[\x0A-\x0D.,;:!?]+")
@@ -119,28 +124,30 @@ def phrases(docs: DataFrame, counts: DataFrame, least: int = 100, longest: int =
         rank.setdefault(lang, {})[word] = i
     sent = spark.sparkContext.broadcast((rank, [n // split + 1 for _, _, n in top[:listed]]))
     beyond = len(top)
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def route(batches):
         ranks, shares = sent.value
-        seen: dict[tuple, Counter] = {}
+        seen: dict[tuple, dict] = {}
         held = 0
+        bucket_of = Known(lambda word: xxhash.xxh32_intdigest(word) % buckets)
 
         def emit():
             rows = []
-            for (lang, pivot, share), fragments in seen.items():
+            for (lang, bucket, split_up), fragments in seen.items():
                 lines, size = [], 0
                 for (left, words), n in fragments.items():
                     lines.append(b"%d %d %b" % (left, n, words))
                     size += len(words)
                     if size > ROW:
-                        rows.append((lang, pivot, share, b"\n".join(lines)))
+                        rows.append((lang, bucket, split_up, b"\n".join(lines)))
                         lines, size = [], 0
                 if lines:
-                    rows.append((lang, pivot, share, b"\n".join(lines)))
+                    rows.append((lang, bucket, split_up, b"\n".join(lines)))
             seen.clear()
             for at in range(0, len(rows), 2000):
                 columns = zip(*rows[at : at + 2000])
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.binary(), pa.int32(), pa.binary()))], names=["lang", "pivot", "share", "fragments"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int32(), pa.bool_(), pa.binary()))], names=["lang", "bucket", "split_up", "fragments"])
 
         for batch in pieces(batches, 256):
             by_lang: dict[str, list[bytes]] = {}
@@ -158,19 +165,26 @@ def phrases(docs: DataFrame, counts: DataFrame, least: int = 100, longest: int =
                 for p, a, b, i in zip(at.tolist(), left.tolist(), right.tolist(), ids[at].tolist()):
                     words = b" ".join(parts[p - a : p + b + 1])
                     # A pivot dealt to several tasks: a fragment always goes to the same.
-                    share = xxhash.xxh32_intdigest(words) % shares[i] if i < len(shares) and shares[i] > 1 else -1
-                    of = seen.setdefault((lang, parts[p], share), Counter())
-                    held -= len(of)
-                    of[a, words] += 1
-                    held += len(of)
+                    split_up = i < len(shares) and shares[i] > 1
+                    bucket = bucket_of[parts[p]]
+                    if split_up:
+                        bucket = (bucket + xxhash.xxh32_intdigest(words) % shares[i]) % buckets
+                    of = seen.get((lang, bucket, split_up))
+                    if of is None:
+                        of = seen[lang, bucket, split_up] = {}
+                    n = of.get((a, words))
+                    if n is None:
+                        n = 0
+                        held += 1
+                    of[a, words] = n + 1
                 if held > KEPT:
                     yield from emit()
                     held = 0
         yield from emit()
 
     def mine(batches):
-        """Rows of a pivot are together; its counts are whole unless it is dealt to several tasks or had to be emitted before its end."""
-        key, partial, seen = None, False, Counter()
+        """Rows of a bucket are together; its counts are whole unless its pivots are dealt to several or it had to be emitted before its end."""
+        key, partial, seen = None, False, {}
 
         def emit():
             found = [(w, n) for w, n in seen.items() if partial or n >= least]
@@ -180,23 +194,24 @@ def phrases(docs: DataFrame, counts: DataFrame, least: int = 100, longest: int =
                 yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(some), pa.string()), pa.array([w.decode() for w, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], names=["lang", "phrase", "f"])
 
         for batch in pieces(batches):
-            for lang, pivot, share, fragments in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != (lang, pivot, share):
+            for lang, bucket, split_up, fragments in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != (lang, bucket, split_up):
                     yield from emit()
-                    key, partial = (lang, pivot, share), share >= 0
+                    key, partial = (lang, bucket, split_up), split_up
                 for line in fragments.split(b"\n"):
                     left, times, *words = line.split(b" ")
                     at, n = int(left), int(times)
                     for i in range(at + 1):
                         for j in range(max(at + 1, i + 2), min(i + longest, len(words)) + 1):
-                            seen[b" ".join(words[i:j])] += n
+                            phrase = b" ".join(words[i:j])
+                            seen[phrase] = seen.get(phrase, 0) + n
                 if len(seen) > KEPT:
                     partial = True
                     yield from emit()
         yield from emit()
 
     rows = docs.select(_language(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    dealt = rows.mapInArrow(trimmed(route), "lang string, pivot binary, share int, fragments binary").repartition("lang", "pivot", "share").sortWithinPartitions("lang", "pivot", "share")
+    dealt = rows.mapInArrow(trimmed(route), "lang string, bucket int, split_up boolean, fragments binary").repartition("lang", "bucket", "split_up").sortWithinPartitions("lang", "bucket", "split_up")
     mined = dealt.mapInArrow(trimmed(mine), "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     return mined.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("n_words"), "f")
 

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from fragmill.llm import collocations
@@ -88,3 +89,18 @@ def test_exact_beyond_64_bits(spark):
 def test_empty(spark):
     assert collocations.collocations(table(spark, [])).count() == 0
     assert collocations.collocations(table(spark, [(None, None), ("", "en")])).count() == 0
+
+
+def test_rows_follow_the_buckets_not_the_pivots(spark, monkeypatch):
+    runs = []
+    monkeypatch.setattr(collocations, "trimmed", lambda f: runs.append(f) or f)
+    rows = [(i, " ".join(f"a{i + k} b{i}" for k in range(20)), "en", None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    counts = shared_table(collocations.word_counts(df), "test-counts")
+    runs.clear()
+    collocations.phrases(df, counts, least=1)
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(rows)), pa.array([r[1] for r in rows])], names=["lang", "text"])
+    made = list(runs[0]([batch]))
+    texts = sum(len(x) for b in made for x in b.column(3).to_pylist())
+    buckets = collocations.BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert 0 < sum(b.num_rows for b in made) <= buckets + texts // collocations.ROW < len(counts.where("n >= 1").collect()) // 2
