@@ -18,10 +18,11 @@ Steps: sets with equal fingerprints are one class, whose copies never meet each
 Signatures are dealt by value; a class with equal signatures is compared to the smallest of the
 bucket only (a star): first by size and a histogram, whose distance bounds the difference
 from below, then exactly.  Verified links join classes into components.  Buckets that still hold
-several components are then compared fully across components, but in blocks of a bounded size,
-where a bound from histograms drops pairs inside the worker before any row is made;
+several components are then compared fully across components, but in blocks of a bounded size.
+In a bucket of few classes a bound from histograms drops pairs inside the worker before any row is made;
 what is left is verified exactly.  Verification takes texts again, and a class with many
-partners is salted.
+partners is salted.  Blocks of a crowded bucket bring the texts along and are verified inside the worker:
+only links between parts of the block that no link has joined yet become rows, fewer than the block has classes.
 
 Shingles are compared by 64-bit hashes of whole words, classes by 64-bit fingerprints.
 
@@ -52,6 +53,8 @@ from fragmill.llm.components import components
 BINS = 64
 #: Classes of a bucket that one block of the full comparison holds, and partners of one salt.
 BLOCK, SALT = 1024, 256
+#: Classes beyond which a bucket is crowded, and shingles that one block of such a bucket holds, about.
+CROWD, ROOM = 32, 4_000_000
 #: Rows of a block up to which its pairs are taken one by one.
 FEW = 12
 #: Pairs of the full comparison that a batch holds.
@@ -387,20 +390,52 @@ def _across(percent: int):
                     found, n = [], 0
         yield _pair_batch(found)
 
-    def blocks(batches):
-        now, rows = None, []
-        for batch in batches:
-            for piece in pieces([batch]):
-                for r in zip(*(piece.column(i).to_pylist() for i in range(9))):
-                    if r[:3] != now:
-                        if len(rows) > 1:
-                            yield now[0], rows
-                        now, rows = r[:3], []
-                    rows.append(r[3:])
-        if len(rows) > 1:
-            yield now[0], rows
+    return lambda batches: in_batches(_blocks(batches))
 
-    return lambda batches: in_batches(blocks(batches))
+
+def _blocks(batches, last=None):
+    """Rows in order (sig, i, j) -> sig and the other columns of each block of several rows; ``last`` maps a batch to what replaces its last column."""
+    now, rows = None, []
+    for piece in pieces(batches):
+        columns = [piece.column(i).to_pylist() for i in range(piece.num_columns - (last is not None))]
+        for r in zip(*columns, *([last(piece)] if last else [])):
+            if r[:3] != now:
+                if len(rows) > 1:
+                    yield now[0], rows
+                now, rows = r[:3], []
+            rows.append(r[3:])
+    if len(rows) > 1:
+        yield now[0], rows
+
+
+def _forest(words: int, percent: int):
+    """Blocks in order (sig, i, j), which bring texts -> links that join all classes of a block that links inside it join.
+
+    Pairs that roots or earlier links of the block have joined are not looked at again.
+    """
+
+    def links(sig, rows):
+        side, fp, root, size = (np.array([r[k] for r in rows]) for k in range(4))
+        few = min(len(r[4]) for r in rows)
+        bins = np.array([folded(r[4], few) for r in rows])
+        smaller = [{s for s in r[5] if s < sig} for r in rows]
+        part = np.unique(root, return_inverse=True)[1]
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        for i in left:
+            js = right[(part[right] != part[i]) & ((side[i] == 0) | (fp[right] > fp[i]))]
+            js = js[np.minimum(size[js], size[i]) * 100 >= np.maximum(size[js], size[i]) * percent]
+            js = js[np.abs(bins[js] - bins[i]).sum(axis=1) <= (100 - percent) * (size[js] + size[i]) // (100 + percent)]
+            for j in js.tolist():
+                if part[j] != part[i] and smaller[i].isdisjoint(smaller[j]) and linked(rows[i][6], rows[j][6], percent):
+                    part[part == part[j]] = part[i]
+                    yield min(fp[i], fp[j]), max(fp[i], fp[j])
+
+    def run(batches):
+        for sig, rows in _blocks(batches, lambda piece: shingle_sets(piece.column(9), words)):
+            made = list(links(sig, rows))
+            yield _pair_batch([tuple(np.array(x) for x in zip(*made))] if made else [])
+
+    return run
 
 
 def _pair_batch(found):
@@ -408,6 +443,16 @@ def _pair_batch(found):
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
+def _dealt(members: DataFrame, texts: DataFrame, *more: str) -> DataFrame:
+    """Rows (sig, fp, root, blocks) as those of each pair of blocks of their bucket, in order; ``more``: columns of ``texts`` to bring along."""
+    firsts = members.groupBy("fp").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, FIRSTS).alias("firsts"))  # as many as a set has
+    cells = members.join(texts.select("fp", "size", "bins", *more), "fp").join(firsts, "fp").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    cells = cells.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "fp", "root", "size", "bins", "firsts", *more)
+    return cells.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+
+
 def groups(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_key, n_shingles, fp of each row; fp, root, component_id of each class)."""
     spark = docs.sparkSession
@@ -441,23 +486,22 @@ def groups(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str
     mixed = shared_table(placed.join(mixed.select("sig", "m"), "sig"), "jaccard-mixed")
     release_shuffles(spark)
     if not mixed.isEmpty():
-        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        firsts = mixed.groupBy("fp").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, FIRSTS).alias("firsts"))  # as many as a set has
-        cells = mixed.join(texts.select("fp", "size", "bins"), "fp").join(firsts, "fp").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-        cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-        cells = cells.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "fp", "root", "size", "bins", "firsts")
-        cells = cells.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-        more = cells.mapInArrow(trimmed(_across(percent)), "a long, b long").distinct()
+        # A pair that shares a bucket of each kind may be left to either: both compare it.
+        blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("shingles") / ROOM)).cast("int")
+        crowds = mixed.where(F.col("m") > CROWD).join(texts.select("fp", "size"), "fp").groupBy("sig").agg(F.count("*").alias("m"), F.sum("size").alias("shingles"))
+        crowds = mixed.drop("m").join(crowds.select("sig", blocks.alias("blocks")), "sig")
+        found = shared_table(_dealt(crowds, texts, "text").mapInArrow(trimmed(_forest(words, percent)), "a long, b long"), "jaccard-links")
+        release_shuffles(spark)
+        few = mixed.where(F.col("m") <= CROWD).select("sig", "fp", "root", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        more = _dealt(few, texts).mapInArrow(trimmed(_across(percent)), "a long, b long").distinct()
         tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = shared_table(more.join(tried, ["a", "b"], "left_anti"), "jaccard-across")
-        del cells
         release_shuffles(spark)
-        found = shared_table(verify(more, texts, words, percent), "jaccard-links")
-        if not found.isEmpty():
-            links = shared_table(links.unionByName(found), "jaccard-links")
+        verified = shared_table(verify(more, texts, words, percent), "jaccard-links")
+        if not (found.isEmpty() and verified.isEmpty()):
+            links = shared_table(links.unionByName(found).unionByName(verified), "jaccard-links")
             roots = shared_table(components(links), "jaccard-roots")
-        drop_shared(spark, more, found)
+        drop_shared(spark, more, found, verified)
     drop_shared(spark, texts, mixed, stars, links)
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("kept"))

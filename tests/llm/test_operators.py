@@ -209,6 +209,44 @@ def test_small_blocks_and_salts_give_the_same_groups(monkeypatch, spark, block,
     assert {r["doc_id"]: r["component_id"] for r in out.collect()} == groups
 
 
+def test_pairs_of_a_crowd_make_no_rows(monkeypatch, spark):
+    """A large group of near copies, many of whose pairs just miss the limit: rows grow with its classes, not with their square."""
+    rng = random.Random(8)
+    base = [f"n{rng.randrange(9000)}" for _ in range(110)]
+    rows = corpus(6, 30)
+    for k in range(240):
+        at = rng.sample(range(110), rng.choice([2, 3, 3]))
+        rows.append((4000 + k, " ".join(f"x{rng.randrange(10**6)}" if i in at else w for i, w in enumerate(base)), "en", "a", None))
+    groups, _ = brute_groups(rows, 4, 85)
+    made, write = {}, ngram_join.shared_table
+    monkeypatch.setattr(ngram_join, "shared_table", lambda df, name: made.setdefault(name, []).append(write(df, name)) or made[name][-1])
+    monkeypatch.setattr(ngram_join, "drop_shared", lambda *_: None)
+    out = ngram_join.join(spark.createDataFrame(rows, SCHEMA), 4, 85)
+    assert {r["doc_id"]: r["component_id"] for r in out.collect()} == groups
+    compared = sum(t.count() for t in made["jaccard-across"])
+    assert made["jaccard-mixed"][0].groupBy("sig").count().where(f"count > {ngram_join.CROWD}").count() and compared < 1000
+
+
+def test_a_crowded_block_gives_a_forest_of_its_links():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"b{k}" if rng.random() > 0.012 else f"c{rng.integers(10**6)}" for k in range(130)) for _ in range(50)]
+    sets = [ngram_join.shingles(t, 4) for t in texts]
+    side = [0] * 25 + [1] * 25
+    for sides in (side, [2] * 50):
+        rows = [(5, 0, int(sides is side), sides[k], k, k // 3, len(s), ngram_join.histogram(s), [5], t) for k, (s, t) in enumerate(zip(sets, texts))]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=list("abcdefghij"))
+        found = [p for x in ngram_join._forest(4, 85)([batch.slice(0, 20), batch.slice(20)]) for p in zip(*(c.to_pylist() for c in x.columns))]
+        links = [(a, b) for a, b in itertools.combinations(range(50), 2) if (sides is not side or (a < 25 <= b)) and a // 3 != b // 3 and ngram_join.linked(sets[a], sets[b], 85)]
+        assert set(found) <= set(links) and 0 < len(found) < 50 < len(links)
+        parts = []
+        for edges in (found, links):
+            of = [k // 3 for k in range(50)]
+            for a, b in edges:
+                of = [of[a] if x == of[b] else x for x in of]
+            parts.append([of.index(x) for x in of])
+        assert parts[0] == parts[1]
+
+
 def test_pairs_leave_a_block_in_bounded_batches(monkeypatch):
     pa = pytest.importorskip("pyarrow")
     rng = np.random.default_rng(2)
