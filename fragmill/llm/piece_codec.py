@@ -17,7 +17,8 @@ are found here without a queue of merges, by backtracking:
 
 Characters that no piece has are units that join with nothing; their UTF-8 bytes become byte pieces.
 Where no piece holds the space mark behind another character, pieces never cross the border between a
-character and a space mark; nor do they cross the border of a character that is in no piece of several.
+character and a space mark; nor do they cross the border of a character that is in no piece of several, nor,
+where no piece holds a letter beside another character, that of a run of letters.
 The text is cut there, and the pieces of segments are remembered, up to a fixed number.
 
 Encoding and decoding are narrow maps over Arrow batches: no shuffle, and a lost executor only repeats its own
@@ -50,6 +51,15 @@ from fragmill.llm.token_orc import Known
 MARK = "▁"
 #: Characters of a segment up to which its ids are remembered.
 SHORT = 100
+#: Characters of the end of a segment up to which the longest piece that it begins with is remembered.
+TAIL = 6
+
+
+class Segments(Known):
+    """The packed ids of segments; long ones are not remembered."""
+
+    def __missing__(self, segment: str) -> bytes:
+        return super().__missing__(segment) if len(segment) <= SHORT else self.make(segment)
 
 
 class MergeModel:
@@ -84,12 +94,20 @@ class MergeModel:
         self.inside = {p[i : i + 2] for p in reached for i in range(len(p) - 1)}
         self.histories = Known(self.history)
         self.compatible = Known(self.remerged)
+        self.tails = Known(self.longest_of)
         joined = {c for p in self.ids if len(p) > 1 for c in p} - {MARK}
         self.cut = None
         if not any(MARK in p.lstrip(MARK) for p in self.ids):
             inner = "".join(map(re.escape, sorted(joined)))
-            self.cut = re.compile(f"{MARK}*[{inner}]+|{MARK}+|[^{MARK}{inner}]+" if inner else f"{MARK}+|[^{MARK}]+")
-        self.segments = Known(self.packed)
+            letters = "".join(map(re.escape, sorted(c for c in joined if c.isalpha())))
+            others = "".join(map(re.escape, sorted(c for c in joined if not c.isalpha())))
+            runs = [letters, others] if self.apart() else [inner]
+            self.cut = re.compile("|".join([*(f"{MARK}*[{c}]+" for c in runs if c), f"{MARK}+", f"[^{MARK}{inner}]+"]))
+        self.segments = Segments(self.packed)
+
+    def apart(self) -> bool:
+        """Does no piece hold a letter beside a character that is neither a letter nor the space mark?"""
+        return all(a == MARK or b == MARK or a.isalpha() == b.isalpha() for p in self.ids for a, b in zip(p, p[1:]))
 
     def unit(self, u: int) -> str:
         return self.text[u] if u >= 0 else chr(-1 - u)
@@ -145,9 +163,9 @@ class MergeModel:
                 scores[i] = self.scores.get(parts[i] + parts[i + 1])
         return parts
 
-    def longest_at(self, text: str, at: int) -> int:
-        """The longest piece that starts at one place; -1 if there is none."""
-        rest, reached = text[at:], self.reached
+    def longest_of(self, rest: str) -> int:
+        """The longest piece that a text begins with; -1 if there is none."""
+        reached = self.reached
         for k in range(self.forward.longest_prefix(rest), 0, -1):
             if (t := reached.get(rest[:k])) is not None:
                 return t
@@ -164,22 +182,27 @@ class MergeModel:
 
     def units(self, text: str) -> array:
         """The units of a text: the longest each, and back where no piece is compatible."""
-        n, size, compatible, shorter = len(text), self.size, self.compatible, self.shorter
+        n, size, compatible, shorter, tails = len(text), self.size, self.compatible, self.shorter, self.tails
         taken = array("i")
-        at, before = 0, None
-        for end, t in self.forward.iter_long(text):  # longest matches, one behind the other, as long as they fit
-            if end + 1 - size[t] != at or (before is not None and not compatible[before, t]):
+        at, before, t = 0, None, None
+        for end, found in self.forward.iter_long(text):  # longest matches, one behind the other, as long as they fit
+            if end + 1 - size[found] != at:
+                break
+            if before is not None and not compatible[before, found]:
+                t = found  # the longest at this place, where the search goes on
                 break
-            taken.append(t)
-            at, before = end + 1, t
+            taken.append(found)
+            at, before = end + 1, found
         if at == n:
             return taken
         longest = self.longest(text) if n > SHORT else None
         failed = bytearray(n // 8 + 1)  # a bit for each place
-        t = None
         while at < n:
             if t is None:
-                t = self.longest_at(text, at) if longest is None else longest[at]
+                if longest is not None:
+                    t = longest[at]
+                else:
+                    t = tails[text[at:]] if n - at <= TAIL else self.longest_of(text[at:])
                 if t < 0:
                     t = -1 - ord(text[at])
             while t is not None:
@@ -209,8 +232,7 @@ class MergeModel:
         """Packed ids of a text that is normalised already."""
         if self.cut is None:
             return self.packed(text)
-        known = self.segments
-        return b"".join([known[s] if len(s) <= SHORT else self.packed(s) for s in self.cut.findall(text)])
+        return b"".join(map(self.segments.__getitem__, self.cut.findall(text)))
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, as the library's encode gives them."""

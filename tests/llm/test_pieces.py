@@ -52,6 +52,18 @@ def test_texts_that_need_going_back(one):
     assert one.encode("ation" * 4000).tolist() == one.library.encode("ation" * 4000)
 
 
+def test_runs_of_letters_are_segments(one):
+    """A word is remembered once, whatever stands behind it; long segments are not remembered."""
+    assert one.apart() and one.cut.findall("▁Weilo.▁(Weilo)▁▁x=1,²é!") == ["▁Weilo", ".", "▁(", "Weilo", ")", "▁▁x", "=", "1", ",²", "é", "!"]
+    long = "weilo" * 30
+    one.encode(f"Weilo, Weilo. {long}")
+    assert "▁Weilo" in one.segments and not any(f"▁Weilo{c}" in one.segments for c in ",.") and f"▁{long}" not in one.segments
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(["Weilo", "thsherst", "é", "e\u0301", "ñí", "'", ".", ",", "...", "***", "7", "²", " ", "  ", "▁", "日本", "я", "ß", "🙂", "\n", "\u200b"]) for _ in range(rng.randint(1, 25))) for _ in range(3000)]
+    for text, want in zip(texts, one.library.encode(texts, num_threads=1)):
+        assert one.encode(text).tolist() == want, text
+
+
 def test_a_model_without_cuts_gives_the_same(one):
     cut, one.cut = one.cut, None
     try:
