@@ -8,7 +8,9 @@ border where both have a token's end.  Borders cut the tokens into groups, and l
 tokens that end there.
 
 Both tokenizers begin anew at a space behind a character that is no white space: A's pattern matches nothing
-across it, no piece of B holds a space behind another character.  Texts are cut there, and the
+across it, no piece of B holds a space behind another character.  So they do between a Latin letter and an ASCII
+character behind it that is no letter, where A has the byte-level pattern, whose runs of letters end there, and no
+piece of B holds the two side by side; normal forms join nothing across it.  Texts are cut there, and the
 alignments of short stretches are remembered, up to a fixed number.  Texts are whole.
 
 Counts over the corpus are relational: link pairs are exploded from a table written once (a row for each document
@@ -25,6 +27,7 @@ row is a document of its own; other columns are not read; an empty table gives a
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from array import array
@@ -49,6 +52,9 @@ TOGETHER = 5_000
 #: Characters that A takes at once, if there is a safe place to cut.
 LONG = 50_000
 _BORDER = re.compile(rf".*?[^\s{MARK}](?= )|.+", re.S)
+#: Latin letters, and the ASCII characters that may end a run of them.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_ENDS = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalpha()]
 _SAFE = re.compile(r"(?<=\S)(?=[ \t-\r])")
 
 
@@ -87,13 +93,24 @@ class Aligner:
         vocab = self.a.get_vocab()
         self.a_bytes = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in vocab.items()}
         self.b = MergeModel(b_path)
-        self.b_bytes = {i: p.replace(MARK, " ").encode() for i, p in self.b.text.items()} | {i: bytes([b]) for b, i in enumerate(self.b.bytes)}
+        self.b_bytes = dict.fromkeys(range(self.b.library.get_piece_size()), b"") | {i: p.replace(MARK, " ").encode() for i, p in self.b.text.items()} | {i: bytes([b]) for b, i in enumerate(self.b.bytes)}
         #: Stretches may only be cut where B can be.
-        self.cuts = self.b.cut is not None
+        self.cuts = self.stretches(self.a.to_str()) if self.b.cut is not None else None
         self.known = Known(self.aligned)
         #: Ids of stretches that are not known yet, encoded together.
         self.encoded: dict[str, tuple[list[int], list[int]]] = {}
 
+    def stretches(self, a_json: str) -> re.Pattern:
+        """Matches the stretches of a text one by one."""
+        settings = json.loads(a_json)
+        plain = settings["normalizer"] is None and {"type": "ByteLevel", "use_regex": True, "add_prefix_space": False}.items() <= settings["pre_tokenizer"].items()
+        beside = {b for p in self.b.ids for a, b in zip(p, p[1:]) if a.isalpha()}
+        ends = "".join(re.escape(c) for c in _ENDS if c not in beside)
+        if not (plain and ends and len(self.b.library.encode("a")) == 1):
+            return _BORDER
+        # A word and a run of other characters before a space come first, being the most frequent.
+        return re.compile(rf" [{_LATIN}]+(?=[ {ends}])|[{ends}]+(?= )|.*?(?:[^\s{MARK}](?= )|[{_LATIN}](?=[{ends}]))|.+", re.S)
+
     def a_ids(self, text: str) -> list[int]:
         ids, at = [], 0
         while len(text) - at > LONG and (found := _SAFE.search(text, at + LONG)):
@@ -102,7 +119,9 @@ class Aligner:
         return ids + self.a.encode(text[at:], add_special_tokens=False).ids
 
     def b_ids(self, text: str) -> list[int]:
-        """Of a text that begins with B's space, which the library puts there itself, but not before nothing."""
+        """Of a text that begins with B's space, which the library puts there itself, but not before nothing; or of one behind a letter."""
+        if text[0] != " ":
+            return self.b.library.encode(f"a{text}")[1:]
         if text != " ":
             return self.b.library.encode(text[1:])
         return np.frombuffer(self.b.encode_normal(MARK), np.int32).tolist()
@@ -110,21 +129,21 @@ class Aligner:
     def encode_together(self, stretches: list[str]) -> None:
         """Encode the short ones that are not known yet by one call of each library."""
         known = self.known
-        new = [x for x in dict.fromkeys(stretches) if 1 < len(x) <= SHORT and x not in known and x not in known.before]
+        new = [x for x in set(stretches) if x not in known and len(x) <= SHORT and x != " " and x not in known.before]
         a = self.a.encode_batch_fast(new, add_special_tokens=False)
-        b = self.b.library.encode([x[1:] for x in new], num_threads=1)
-        self.encoded = {x: (i.ids, j) for x, i, j in zip(new, a, b)}
+        b = self.b.library.encode([x[1:] if x[0] == " " else f"a{x}" for x in new], num_threads=1)
+        self.encoded = {x: (i.ids, j if x[0] == " " else j[1:]) for x, i, j in zip(new, a, b)}
 
     def aligned(self, text: str) -> tuple[int, int, bytes, bytes, bool]:
         """Numbers of A and B tokens, groups as text, links as packed longs, and whether both give the bytes back."""
         a, b = self.encoded.get(text) or (self.a_ids(text), self.b_ids(text))
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes.get(i, b"") for i in b]
+        a_parts, b_parts = [*map(self.a_bytes.__getitem__, a)], [*map(self.b_bytes.__getitem__, b)]
         raw = text.encode()
         if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
             return len(a), len(b), b"", b"", False
         groups, links, i, j = [], [], 0, 0
         for x, y in borders([*accumulate(map(len, a_parts))], [*accumulate(map(len, b_parts))]):
-            groups.append(f"{','.join(map(str, a[i : x + 1]))}|{','.join(map(str, b[j : y + 1]))}")
+            groups.append(f"{a[i] if x == i else ','.join(map(str, a[i : x + 1]))}|{b[j] if y == j else ','.join(map(str, b[j : y + 1]))}")
             links.append(a[x] << 32 | b[y])
             i, j = x + 1, y + 1
         return len(a), len(b), ";".join(groups).encode(), array("q", links).tobytes(), True
@@ -134,14 +153,13 @@ class Aligner:
         if not text:
             return 0, 0, b"", b""
         known, whole = self.known, f" {text}"
-        stretches, found = _BORDER.findall(whole) if self.cuts else [whole], []
+        stretches, found = self.cuts.findall(whole) if self.cuts else [whole], []
         for at in range(0, len(stretches), TOGETHER):
             some = stretches[at : at + TOGETHER]
             self.encode_together(some)
             found += [known[s] if len(s) <= SHORT else self.aligned(s) for s in some]
-        if not all(x[4] for x in found):
-            return 0, 0, b"", b""
-        return sum(x[0] for x in found), sum(x[1] for x in found), b";".join([x[2] for x in found]), b"".join([x[3] for x in found])
+        n_a, n_b, groups, links, whole = zip(*found)
+        return (sum(n_a), sum(n_b), b";".join(groups), b"".join(links)) if all(whole) else (0, 0, b"", b"")
 
 
 @functools.lru_cache(maxsize=2)

@@ -63,6 +63,20 @@ def test_documents(brute):
     assert min(kinds.values()) > 20
 
 
+def test_words_are_stretches_of_their_own(brute):
+    """A word is remembered once, whatever stands behind it; cuts change nothing."""
+    one = token_align.Aligner(A, B)
+    one.document("alpha. alpha, alpha; alpha's alpha-7 (alpha) alpha")
+    assert {" alpha", ".", ",", "'s", "-7"} <= one.known.keys() and not any(f" alpha{c}" in one.known for c in ".,;'-")
+    rng = random.Random(11)
+    for _ in range(4000):
+        text = "".join(rng.choice(["don't", "'s", "'ll", "'", "we", "é", "e\u0301", "\u0338", "=", "<", ">", "(", ")", ".", "...", "1", "²", "ﬁ", "ĳ", "ŉ", "ſ", "ñ", "ǆ", "ß", " ", "  ", "\n", "\t", "▁", "日", "я", "_", "-", "~", "<s>", "<0x41>"]) for _ in range(rng.randint(1, 14)))
+        a, b, groups = brute(text)
+        want = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
+        n_a, n_b, joined, links = one.document(text)
+        assert (n_a, n_b, joined.decode(), len(links) // 8) == (len(a), len(b), want, len(groups)), text
+
+
 def test_long_texts(brute):
     one = token_align.aligner(A, B)
     text = " ".join(random.Random(3).choices(["alpha", "beta.", "Gamma,", "日本", "12", "\n"], k=30_000)) + "x" * 2000
