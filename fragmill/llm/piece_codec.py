@@ -4,9 +4,9 @@ A model of merge type starts from single characters and joins, again and again,
 whose concatenation is the piece with the highest score, the leftmost such pair first.  The same pieces
 are found here without a queue of merges, by backtracking:
 
-* Aho-Corasick automata give longest matches: one over the pieces those that follow each other, and, where
-  these don't do, the longest at a place is looked up in its trie; in long segments one over the reversed pieces gives
-  the longest at each place in a pass over the reversed text.
+* Aho-Corasick automata give longest matches: the trie of one over the pieces the longest at a place; in long segments
+  this automaton gives those that follow each other, and, where these don't do, one over the reversed pieces the
+  longest at each place in a pass over the reversed text.
   Shorter ones follow by a table of each piece's prefixes.
 * A sequence of pieces is the model's if and only if each two neighbours are compatible: merging their
   characters anew gives the same two.  (The first merge across a border of the sequence would also
@@ -51,9 +51,6 @@ from fragmill.llm.token_orc import Known
 MARK = "▁"
 #: Characters of a segment up to which its ids are remembered.
 SHORT = 100
-#: Characters of the end of a segment up to which the longest piece that it begins with is remembered.
-TAIL = 6
-
 
 class Segments(Known):
     """The packed ids of segments; long ones are not remembered."""
@@ -91,10 +88,15 @@ class MergeModel:
         self.reversed.make_automaton()
         #: piece -> the longest other piece that it begins with, None if none.
         self.shorter = {self.ids[p]: next((self.ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in reached), None) for p in reached}
+        #: each beginning of a piece, a node of the trie -> the longest piece that it begins with, -1 if none.
+        self.begins = {"": -1}
+        for p in sorted(reached):  # a beginning comes before what it begins
+            for k in range(1, len(p) + 1):
+                if p[:k] not in self.begins:
+                    self.begins[p[:k]] = self.reached.get(p[:k], self.begins[p[: k - 1]])
         self.inside = {p[i : i + 2] for p in reached for i in range(len(p) - 1)}
         self.histories = Known(self.history)
         self.compatible = Known(self.remerged)
-        self.tails = Known(self.longest_of)
         joined = {c for p in self.ids if len(p) > 1 for c in p} - {MARK}
         self.cut = None
         if not any(MARK in p.lstrip(MARK) for p in self.ids):
@@ -163,14 +165,6 @@ class MergeModel:
                 scores[i] = self.scores.get(parts[i] + parts[i + 1])
         return parts
 
-    def longest_of(self, rest: str) -> int:
-        """The longest piece that a text begins with; -1 if there is none."""
-        reached = self.reached
-        for k in range(self.forward.longest_prefix(rest), 0, -1):
-            if (t := reached.get(rest[:k])) is not None:
-                return t
-        return -1
-
     def longest(self, text: str) -> array:
         """The longest piece that starts at each place; -1 where there is none."""
         out, last, size = array("i", [-1]) * len(text), len(text) - 1, self.size
@@ -182,38 +176,41 @@ class MergeModel:
 
     def units(self, text: str) -> array:
         """The units of a text: the longest each, and back where no piece is compatible."""
-        n, size, compatible, shorter, tails = len(text), self.size, self.compatible, self.shorter, self.tails
+        n, size, compatible, shorter, begins = len(text), self.size, self.compatible, self.shorter, self.begins
         taken = array("i")
         at, before, t = 0, None, None
-        for end, found in self.forward.iter_long(text):  # longest matches, one behind the other, as long as they fit
-            if end + 1 - size[found] != at:
-                break
-            if before is not None and not compatible[before, found]:
-                t = found  # the longest at this place, where the search goes on
-                break
-            taken.append(found)
-            at, before = end + 1, found
-        if at == n:
-            return taken
-        longest = self.longest(text) if n > SHORT else None
-        failed = bytearray(n // 8 + 1)  # a bit for each place
+        longest = None
+        if n > SHORT:
+            for end, found in self.forward.iter_long(text):  # longest matches, one behind the other, as long as they fit
+                if end + 1 - size[found] != at or (before is not None and not compatible[before, found]):
+                    break
+                taken.append(found)
+                at, before = end + 1, found
+            if at == n:
+                return taken
+            longest = self.longest(text)
+        in_trie = self.forward.longest_prefix
+        failed = None  # a bit for each place, once there is one
         while at < n:
             if t is None:
                 if longest is not None:
                     t = longest[at]
                 else:
-                    t = tails[text[at:]] if n - at <= TAIL else self.longest_of(text[at:])
+                    rest = text[at:]
+                    t = begins[rest[: in_trie(rest)]]
                 if t < 0:
                     t = -1 - ord(text[at])
             while t is not None:
                 end = at + (size[t] if t >= 0 else 1)
-                if (before is None or compatible[before, t]) and not failed[end >> 3] >> (end & 7) & 1:
+                if (before is None or compatible[before, t]) and (failed is None or not failed[end >> 3] >> (end & 7) & 1):
                     break
                 t = shorter[t] if t >= 0 else None
             if t is not None:
                 taken.append(t)
                 at, before, t = end, t, None
                 continue
+            if failed is None:
+                failed = bytearray(n // 8 + 1)
             failed[at >> 3] |= 1 << (at & 7)  # the last unit is tried again and can't end here now
             t = taken.pop()
             at -= size[t] if t >= 0 else 1
